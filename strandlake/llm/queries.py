@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, records
+from . import decontam, packing, records, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_records": records.op3_records,
+        "op4_decontaminate": decontam.op4_decontaminate,
         "op7_packing": packing.op7_packing,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontaminate": decontam.OP4_SQL,
+    }
