@@ -35,7 +35,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE) -> It
     """Slices of a batch with about that many bytes each; a longer text is a slice of its own."""
     if not batch.num_rows:
         return
-    ends = np.cumsum([len(x) for x in batch.column(column).to_pylist()])
+    ends = np.cumsum([0 if x is None else len(x) for x in batch.column(column).to_pylist()])
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, records, simhash
+from . import decontam, langid, packing, quality, records, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_records": records.op3_records,
         "op4_decontaminate": decontam.op4_decontaminate,
+        "op5_quality": quality.op5_quality,
         "op7_packing": packing.op7_packing,
+        "op8_language": langid.op8_language,
         "op10_simhash": simhash.op10_simhash,
     }
 
