@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, packing, quality, records, simhash, substring
+from . import decontam, langid, licenses, packing, quality, records, simhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_records": records.op3_records,
         "op4_decontaminate": decontam.op4_decontaminate,
         "op5_quality": quality.op5_quality,
+        "op6_suffix": suffix.op6_suffix,
         "op7_packing": packing.op7_packing,
         "op8_language": langid.op8_language,
         "op9_licenses": licenses.op9_licenses,
