@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, input_bytes, partitions_for, release, scratch, shared_dir, ship  # noqa: F401
 
 #: Bytes of text that a Python worker handles at a time.
-PIECE = 8_000_000
+PIECE = 4_000_000
+#: Entries that a task gathers before it packs them into a row for each bucket.
+ENTRIES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own, meant for short rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -142,7 +146,7 @@ def exchange(packed: DataFrame, buckets: int) -> DataFrame:
 
 def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts h, starts of the runs of equal values in it, and each entry's run (in sorted order)."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     s = h[order]
     new = np.empty(len(s), bool)
     if len(s):
@@ -151,43 +155,93 @@ def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def reply(keys: list[np.ndarray], names: list[str], pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of the key columns and the positions (little-endian uint32 bytes) that belong to each key."""
-    if not len(pos):
-        return
-    order = np.lexsort((pos, *reversed(keys)))
-    keys, pos = [k[order] for k in keys], pos[order]
-    new = np.zeros(len(pos), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    starts = np.append(np.flatnonzero(new), len(pos))
-    data = pos.astype("<u4")
-    for i in range(0, len(starts) - 1, 20_000):
-        at = starts[i : i + 20_001]
-        offsets = ((at - at[0]) * 4).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at[0] : at[-1]].tobytes())])
-        yield pa.RecordBatch.from_arrays([*(pa.array(k[at[:-1]], pa.int64()) for k in keys), blob], names=[*names, "pos"])
+def packed(entries: Iterator[tuple[np.ndarray, list[np.ndarray]]], buckets: int, keep: int, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """pack() over a task's entries, some million at a time."""
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
 
+    def flush():
+        yield from pack(np.concatenate([h for h, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held))], buckets, keep, widths)
+        held.clear()
 
-def positions(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or ()), "<u4").astype(np.int64)
+    for h, columns in entries:
+        held.append((h, columns))
+        if sum(len(x) for x, _ in held) >= ENTRIES:
+            yield from flush()
+    if held:
+        yield from flush()
 
 
-def spread(starts: np.ndarray, before: int, width: int, n: int) -> np.ndarray:
-    """Mask over n places: those in [s - before, s + width) for any s."""
+def answers(entries: Iterator[list[np.ndarray]], buckets: int, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Entries (key columns, then place) dealt by their keys. They come, and stay, in runs of one document each."""
+
+    def with_hash():
+        for columns in entries:
+            h = np.zeros(len(columns[0]), np.uint64)
+            for c in columns[:-1]:
+                h = mix(h ^ c.view(np.uint64))
+            yield h, columns
+
+    yield from packed(with_hash(), buckets, 0, widths)
+
+
+def assembled(batches: Iterator[pa.RecordBatch], names: list[str], widths: tuple[int, ...], before: int, after: int) -> Iterator[pa.RecordBatch]:
+    """Each document's places as the union of [place - before, place + after): one row a document, with its keys and
+    `spans`, pairs of little-endian uint32: start and length, ascending and apart."""
+    for _, *columns in unpack(batches, 0, widths):
+        *keys, pos = columns
+        if not len(pos):
+            continue
+        new = np.zeros(len(pos), bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(new)
+        heads = [k[starts] for k in keys]
+        order = np.lexsort(tuple(reversed(heads)))
+        fresh = np.zeros(len(order), bool)
+        fresh[0] = True
+        for k in heads:
+            fresh[1:] |= k[order][1:] != k[order][:-1]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        heads = [k[order][fresh] for k in heads]
+        key = np.repeat(number, np.diff(np.append(starts, len(pos)))) << 32 | pos
+        key.sort()
+        doc, pos = key >> 32, key & 0xFFFFFFFF
+        apart = np.ones(len(pos), bool)
+        apart[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > before + after)
+        first = np.flatnonzero(apart)
+        last = np.append(first[1:], len(pos)) - 1
+        begin = np.maximum(0, pos[first] - before)
+        spans = np.stack([begin, pos[last] + after - begin], axis=1).astype("<u4")
+        at = np.searchsorted(doc[first], np.arange(len(heads[0]) + 1))
+        for i in range(0, len(heads[0]), 20_000):
+            own = at[i : i + 20_001]
+            offsets = ((own - own[0]) * 8).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spans[own[0] : own[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[i : i + len(own) - 1], pa.int64()) for k in heads), blob], names=[*names, "spans"])
+
+
+def within(spans: list[bytes] | bytes | None, n: int) -> np.ndarray:
+    """Mask over n places: those in any span."""
+    if isinstance(spans, list):
+        spans = b"".join(spans)
+    s = np.frombuffer(spans or b"", "<u4").reshape(-1, 2).astype(np.int64)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.clip(starts - before, 0, n), 1)
-    np.add.at(edge, np.clip(starts + width, 0, n), -1)
+    np.add.at(edge, np.minimum(s[:, 0], n), 1)
+    np.add.at(edge, np.minimum(s[:, 0] + s[:, 1], n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def runs_of(mask: np.ndarray) -> np.ndarray:
+    """The mask's maximal runs as pairs: start and length."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return np.stack([edges[::2], edges[1::2] - edges[::2]], axis=1).astype("<u4")
 
 
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    out = F.lit(True)
-    for c in on:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
+def spread(starts: np.ndarray, before: int, width: int, n: int) -> np.ndarray:
+    """Mask over n places: those in [s - before, s + width) for any s."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.clip(starts - before, 0, n), 1)
+    np.add.at(edge, np.clip(starts + width, 0, n), -1)
+    return np.cumsum(edge[:n]) > 0

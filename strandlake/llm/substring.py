@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, cut, exchange, groups, keyed, mix, pack, partitions_for, pieces, positions, release, reply, spread, unpack
+from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, unpack, within
 
 WINDOW, BLOCK = 13, 7
 
@@ -56,11 +56,11 @@ def _entries(part: pa.RecordBatch, words: list[list[bytes]], starts: np.ndarray
 
 
 _WIDTHS = (8, 2, 4)
-_ANSWER = "doc_id long, tag long, pos binary"
+_KEYS = ["doc_id", "tag"]
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """keyed docs -> (doc_id, tag, pos): where windows start whose sequence also starts in a document with a smaller id."""
+def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """keyed docs -> (doc_id, tag, spans): the words in windows whose sequence also starts in a document with a smaller id."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     spark = docs.sparkSession
@@ -68,70 +68,78 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     buckets = partitions_for(docs, 10)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                h, columns = _entries(part, [t.split() for t in part.column("text").to_pylist()], None, block)
-                yield from pack(h, columns, buckets, 5, _WIDTHS)
+        entries = (_entries(part, [t.split() for t in part.column("text").to_pylist()], None, block) for batch in batches for part in pieces(batch))
+        yield from packed(entries, buckets, 5, _WIDTHS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, tag, pos in unpack(batches, 5, _WIDTHS):
-            order, starts, run = groups(h)
-            doc, tag, pos = doc[order], tag[order], pos[order]
-            indexed = pos % block == 0
-            top = np.iinfo(np.int64).max
-            least = np.minimum.reduceat(np.where(indexed, doc, top), starts)
-            most = np.maximum.reduceat(doc, starts)
-            anchor = (doc > least[run]) | (indexed & (doc < most[run]))
-            yield from reply([doc[anchor], tag[anchor]], ["doc_id", "tag"], pos[anchor])
-
-    anchors = exchange(known.mapInArrow(probe, PACKED), buckets).mapInArrow(meet, _ANSWER)
-    anchors = cut(anchors, "anchors")
-    release(spark)
+        def anchors():
+            for h, doc, tag, pos in unpack(batches, 5, _WIDTHS):
+                order, starts, run = groups(h)
+                d, indexed = doc[order], pos[order] % block == 0
+                least = np.minimum.reduceat(np.where(indexed, d, np.iinfo(np.int64).max), starts)
+                most = np.maximum.reduceat(d, starts)
+                found = np.empty(len(h), bool)
+                found[order] = (d > least[run]) | (indexed & (d < most[run]))
+                yield [doc[found], tag[found], pos[found]]
+
+        yield from answers(anchors(), buckets, _WIDTHS)
+
+    def gather(before: int, after: int):
+        return lambda batches: assembled(batches, _KEYS, _WIDTHS, before, after)
+
+    def dealt(df: DataFrame, f, before: int, after: int, name: str) -> DataFrame:
+        out = cut(exchange(exchange(df, buckets).mapInArrow(f, PACKED), buckets).mapInArrow(gather(before, after), "doc_id long, tag long, spans binary"), name)
+        release(spark)
+        return out
+
+    # Windows that hold an anchor start up to window - block words before it.
+    held = dealt(known.mapInArrow(probe, PACKED), meet, window - block, 1, "anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                words = [t.split() for t in part.column("text").to_pylist()]
-                masks = [spread(positions(a), window - block, 1, len(w)) for a, w in zip(part.column("anchors").to_pylist(), words)]
-                h, columns = _entries(part, words, np.flatnonzero(np.concatenate(masks)), window)
-                yield from pack(h, columns, buckets, 8, _WIDTHS)
+        def entries():
+            for batch in batches:
+                for part in pieces(batch):
+                    words = [t.split() for t in part.column("text").to_pylist()]
+                    masks = [within(s, len(w)) for s, w in zip(part.column("spans").to_pylist(), words)]
+                    yield _entries(part, words, np.flatnonzero(np.concatenate(masks)), window)
+
+        yield from packed(entries(), buckets, 8, _WIDTHS)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, tag, pos in unpack(batches, 8, _WIDTHS):
-            order, starts, run = groups(h)
-            doc, tag, pos = doc[order], tag[order], pos[order]
-            again = doc > np.minimum.reduceat(doc, starts)[run]
-            yield from reply([doc[again], tag[again]], ["doc_id", "tag"], pos[again])
+        def again():
+            for h, doc, tag, pos in unpack(batches, 8, _WIDTHS):
+                order, starts, run = groups(h)
+                d = doc[order]
+                found = np.empty(len(h), bool)
+                found[order] = d > np.minimum.reduceat(d, starts)[run]
+                yield [doc[found], tag[found], pos[found]]
+
+        yield from answers(again(), buckets, _WIDTHS)
 
-    held = anchors.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("anchors"))
     tagged = known.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
-    anchored = tagged.join(held, ["doc_id", "tag"]).select("doc_id", "uid", "text", "anchors")
-    out = cut(exchange(anchored.mapInArrow(extend, PACKED), buckets).mapInArrow(judge, _ANSWER), "repeats")
-    release(spark)
-    return out
+    anchored = tagged.join(held, _KEYS).select("doc_id", "uid", "text", "spans")
+    return dealt(anchored.mapInArrow(extend, PACKED), judge, 0, window, "repeats")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, uid, n_words, n_removed, spans (maximal removed runs as pairs of uint32: first word, length) and
     kept_text (the words that stay, joined by one space), a row per row of docs."""
     rows = keyed(docs)
-    found = removed_windows(rows, window, block).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("pos").alias("pos"))
+    found = removed_spans(rows, window, block).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spans")
     rows = rows.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
-    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["tag"] == found["t"]), "left").select("doc_id", "uid", "text", "pos")
+    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["tag"] == found["t"]), "left").select("doc_id", "uid", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for text, pos in zip(part.column("text").to_pylist(), part.column("pos").to_pylist()):
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                     words = text.split()
-                    if pos is None:
+                    if spans is None:
                         out.append((len(words), 0, b"", b" ".join(words)))
                         continue
-                    gone = spread(positions(pos), 0, window, len(words))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    spans = np.stack([edges[::2], edges[1::2] - edges[::2]], axis=1).astype("<u4")
-                    out.append((len(words), int(gone.sum()), spans.tobytes(), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])))
+                    gone = within(spans, len(words))
+                    out.append((len(words), int(gone.sum()), runs_of(gone).tobytes(), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])))
                 n, m, spans, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "uid", "n_words", "n_removed", "spans", "kept_text"])
 

@@ -18,18 +18,20 @@ inside a character, so they are returned as binary.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, cut, exchange, groups, keyed, mix, pack, partitions_for, pieces, positions, release, reply, spread, unpack
+from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, unpack, within
 
 WIDTH, BLOCKS, PRIME = 400, 4, 17
 _WIDTHS = (8, 4)
-_ANSWER = "uid long, pos binary"
+SPANS = "uid long, spans binary"
+#: Bytes of text that a worker hashes at a time.
+PIECE = 2_000_000
 
 
 @lru_cache
@@ -68,8 +70,9 @@ def _hashes(texts: list[bytes], uids: np.ndarray, starts: np.ndarray, width: int
     return Rolled(_BYTES[flat]).windows(starts, width), [uids[mine], starts - (ends - sizes)[mine]]
 
 
-def repeated_places(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, prime: int = PRIME) -> DataFrame:
-    """keyed docs -> (uid, pos): where strings of `width` bytes start that also start elsewhere."""
+def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, prime: int = PRIME) -> DataFrame:
+    """keyed docs -> (uid, spans): the bytes in strings of `width` bytes that also start elsewhere; a row for each block
+    of suffixes and document."""
     spark = docs.sparkSession
     v, cover = difference_cover(prime)
     name = width - v + 1
@@ -80,78 +83,82 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, p
     buckets = partitions_for(docs, 10)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                texts = part.column("text").to_pylist()
-                at, starts = 0, []
-                for t in texts:
-                    n = len(t) - name + 1
-                    if len(t) >= width:
-                        own = np.flatnonzero(np.resize(residues, n))
-                        starts.append(own + at)
-                    at += len(t)
-                if starts:
-                    h, columns = _hashes(texts, part.column("uid").to_numpy(), np.concatenate(starts), name)
-                    yield from pack(h, columns, buckets, 5, _WIDTHS)
+        def entries():
+            for batch in batches:
+                for part in pieces(batch, most=PIECE):
+                    texts = part.column("text").to_pylist()
+                    at, starts = 0, []
+                    for t in texts:
+                        if len(t) >= width:
+                            starts.append(np.flatnonzero(np.resize(residues, len(t) - name + 1)) + at)
+                        at += len(t)
+                    if starts:
+                        yield _hashes(texts, part.column("uid").to_numpy(), np.concatenate(starts), name)
+
+        yield from packed(entries(), buckets, 5, _WIDTHS)
 
     def again(keep: int):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for h, uid, pos in unpack(batches, keep, _WIDTHS):
-                order, starts, run = groups(h)
-                many = (np.diff(np.append(starts, len(h))) > 1)[run]
-                yield from reply([uid[order][many]], ["uid"], pos[order][many])
+            def tied():
+                for h, uid, pos in unpack(batches, keep, _WIDTHS):
+                    order, starts, run = groups(h)
+                    many = np.empty(len(h), bool)
+                    many[order] = (np.diff(np.append(starts, len(h))) > 1)[run]
+                    yield [uid[many], pos[many]]
+
+            yield from answers(tied(), buckets, _WIDTHS)
 
         return f
 
-    named = exchange(docs.mapInArrow(sample, PACKED), buckets).mapInArrow(again(5), _ANSWER)
-    named = cut(named.groupBy("uid").agg(F.collect_list("pos").alias("named")), "named")
-    release(spark)
-    held = cut(docs.join(named, "uid").select("uid", "text", "named"), "suspects")
+    def dealt(df: DataFrame, keep: int, before: int, after: int, label: str) -> DataFrame:
+        out = cut(exchange(exchange(df, buckets).mapInArrow(again(keep), PACKED), buckets).mapInArrow(lambda x: assembled(x, ["uid"], _WIDTHS, before, after), SPANS), label)
+        release(spark)
+        return out
+
+    # Suffixes that hold a named sample suffix within their first `width` bytes start up to v - 1 bytes before it.
+    named = dealt(docs.mapInArrow(sample, PACKED), 5, v - 1, 1, "named")
+    held = cut(docs.join(named, "uid").select("uid", "text", "spans"), "suspects")
     release(spark)
 
     def suffixes(block: int):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in pieces(batch):
-                    texts = part.column("text").to_pylist()
-                    masks = []
-                    for t, n in zip(texts, part.column("named").to_pylist()):
-                        m = spread(positions(n), v - 1, 1, len(t))
-                        m[max(0, len(t) - width + 1) :] = False
-                        masks.append(m)
-                    h, columns = _hashes(texts, part.column("uid").to_numpy(), np.flatnonzero(np.concatenate(masks)), width)
-                    mine = (h >> np.uint64(16)) % np.uint64(blocks) == block
-                    yield from pack(h[mine], [c[mine] for c in columns], buckets, 8, _WIDTHS)
+            def entries():
+                for batch in batches:
+                    for part in pieces(batch, most=PIECE):
+                        texts = part.column("text").to_pylist()
+                        masks = []
+                        for t, n in zip(texts, part.column("spans").to_pylist()):
+                            m = within(n, len(t))
+                            m[max(0, len(t) - width + 1) :] = False
+                            masks.append(m)
+                        h, columns = _hashes(texts, part.column("uid").to_numpy(), np.flatnonzero(np.concatenate(masks)), width)
+                        mine = (h >> np.uint64(16)) % np.uint64(blocks) == block
+                        yield h[mine], [c[mine] for c in columns]
+
+            yield from packed(entries(), buckets, 8, _WIDTHS)
 
         return f
 
-    out = None
-    for block in range(blocks):
-        one = cut(exchange(held.mapInArrow(suffixes(block), PACKED), buckets).mapInArrow(again(8), _ANSWER), "places")
-        release(spark)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return reduce(DataFrame.unionByName, [dealt(held.mapInArrow(suffixes(block), PACKED), 8, 0, width, "block") for block in range(blocks)])
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, uid, n_bytes, n_removed, spans (maximal removed runs as pairs of uint32: first byte, length) and kept, a
     row per row of docs."""
     rows = keyed(docs)
-    found = repeated_places(rows, width).groupBy("uid").agg(F.collect_list("pos").alias("pos"))
-    rows = rows.join(found, "uid", "left").select("doc_id", "uid", "text", "pos")
+    found = repeated_spans(rows, width).groupBy("uid").agg(F.collect_list("spans").alias("spans"))  # a row a block
+    rows = rows.join(found, "uid", "left").select("doc_id", "uid", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for text, pos in zip(part.column("text").to_pylist(), part.column("pos").to_pylist()):
-                    if pos is None:
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                    if spans is None:
                         out.append((len(text), 0, b"", text))
                         continue
-                    gone = spread(positions(pos), 0, width, len(text))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    spans = np.stack([edges[::2], edges[1::2] - edges[::2]], axis=1).astype("<u4")
-                    out.append((len(text), int(gone.sum()), spans.tobytes(), np.frombuffer(text, np.uint8)[~gone].tobytes()))
+                    gone = within(spans, len(text))
+                    out.append((len(text), int(gone.sum()), runs_of(gone).tobytes(), np.frombuffer(text, np.uint8)[~gone].tobytes()))
                 n, m, spans, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "uid", "n_bytes", "n_removed", "spans", "kept"])
 
