@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -59,11 +61,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of queries that ended (it waits for the JVM to collect its garbage)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of queries that ended. It acts when the JVM collects its garbage, and
+    a query's last references go only a moment after its end, hence more than one collection."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def input_bytes(df: DataFrame) -> int:
