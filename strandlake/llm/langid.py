@@ -194,17 +194,17 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """The columns in keep, with lang_pred and score (replacing columns of those names)."""
+def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, with the prediction and its score under the given names (replacing columns of those names)."""
     import uuid
 
     spark = docs.sparkSession
     ship(spark)
-    keep = [c for c in keep if c not in ("lang_pred", "score", "__text")]
+    keep = [c for c in keep if c not in (*names, "__text")]
     name = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] |
                     for k, ok in enumerate(lettered):
                         if ok:
                             langs[k], scores[k] = m[0][best[k]], float(top[k])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(f, schema)
 

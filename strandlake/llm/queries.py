@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, packing, quality, records, simhash, substring, suffix
+from . import decontam, html, langid, licenses, packing, quality, records, simhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": substring.op1_substring,
+        "op2_html": html.op2_html,
         "op3_records": records.op3_records,
         "op4_decontaminate": decontam.op4_decontaminate,
         "op5_quality": quality.op5_quality,

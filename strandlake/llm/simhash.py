@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, texts
+from .common import cut, keyed, pieces
 from .graph import components
 
 
@@ -52,15 +52,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long, one row per row of docs."""
+    """(doc_id, uid, fp): the fingerprint's 64 bits as a long, one row per row of docs."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 fp = np.array([fingerprint(shingle_hashes(t, k)) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(fp, pa.int64())], names=["doc_id", "uid", "fp"])
 
-    return texts(docs).mapInArrow(f, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(f, "doc_id long, uid long, fp long")
 
 
 def _least_reached(fps: np.ndarray, free: int, bits: int, need: int) -> np.ndarray:
@@ -144,14 +144,26 @@ def near_links(different: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+    """(doc_id, uid, fp, component_id) for every row of docs, equal for rows of one doc_id and text."""
     marked = cut(fingerprints(docs, k), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(near_links(classes.select("fp"), bits))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(named.join(least, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "uid", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
+    """docs with one row of each group: of its least doc_id, or without one if no member has one."""
+    groups = cut(near_groups(docs, k, bits).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"), "doc_id", "uid").agg(F.count("*").alias("times")), "groups")
+    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fp").agg(F.min(F.struct("uid", "times")).alias("m"))
+    kept = least.select(F.col("component_id").alias("__d"), F.col("m.uid").alias("__u"), F.col("m.times").alias("__n"))
+    rows = docs.withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    out = rows.join(kept, (rows["__uid"] == kept["__u"]) & rows["doc_id"].eqNullSafe(kept["__d"]))
+    if not kept.where("__n > 1").isEmpty():  # rows that repeat doc_id and text
+        out = out.dropDuplicates(["__uid", "doc_id"])
+    return out.select(docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ and copies are runs of a sorted array, of which only the least doc_id counts, so
 
 Defined results: words are runs of bytes that are no ASCII white space, unchanged. A null or empty text has no words. A
 null doc_id is neither smaller nor larger than any: nothing is removed there and nothing because of it. Rows that share
-a doc_id do not remove from each other. Windows are judged on the input. Other columns are carried by kept_documents().
+a doc_id do not remove from each other. Windows are judged on the input. Other columns are read only to be carried.
 """
 
 from __future__ import annotations
@@ -121,13 +121,23 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     return dealt(anchored.mapInArrow(extend, PACKED), judge, 0, window, "repeats")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
     """doc_id, uid, n_words, n_removed, spans (maximal removed runs as pairs of uint32: first word, length) and
-    kept_text (the words that stay, joined by one space), a row per row of docs."""
+    kept_text (the words that stay, joined by one space, in UTF-8), a row per row of docs; with carry, also those columns
+    of docs in a struct `carried`."""
     rows = keyed(docs)
     found = removed_spans(rows, window, block).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spans")
+    if carry:
+        rows = docs.select(F.struct(*carry).alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     rows = rows.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
-    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["tag"] == found["t"]), "left").select("doc_id", "uid", "text", "spans")
+    more = ["carried"] if carry else []
+    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["tag"] == found["t"]), "left").select("doc_id", "uid", "text", "spans", *more)
+    schema = rows.select("doc_id", "uid").schema
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("spans", "binary"), ("kept_text", "binary")):
+        schema = schema.add(name, kind)
+    if carry:
+        schema = schema.add(rows.schema["carried"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +151,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Da
                     gone = within(spans, len(words))
                     out.append((len(words), int(gone.sum()), runs_of(gone).tobytes(), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])))
                 n, m, spans, kept = zip(*out)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "uid", "n_words", "n_removed", "spans", "kept_text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.binary()), pa.array(kept, pa.binary()), *(part.column(c) for c in more)], names=["doc_id", "uid", "n_words", "n_removed", "spans", "kept_text", *more])
 
-    return rows.mapInArrow(remove, "doc_id long, uid long, n_words long, n_removed long, spans binary, kept_text binary")
+    return rows.mapInArrow(remove, schema)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
