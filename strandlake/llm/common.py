@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,22 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE) -> It
         at = to
 
 
+_TURN: list = ["", lambda: None]
+
+
+def turn(owner: str, clear: Callable[[], None]) -> None:
+    """To be called by an operator before it fills a cache of this Python worker: workers live on from stage to stage,
+    so another operator's cache goes first, and the memory returns to the system."""
+    if _TURN[0] == owner:
+        return
+    _TURN[1]()
+    _POWERS.clear()
+    _TURN[:] = [owner, clear]
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- rolling hashes -------------------------------------------------------------------------------------------------
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -237,11 +256,3 @@ def runs_of(mask: np.ndarray) -> np.ndarray:
     """The mask's maximal runs as pairs: start and length."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
     return np.stack([edges[::2], edges[1::2] - edges[::2]], axis=1).astype("<u4")
-
-
-def spread(starts: np.ndarray, before: int, width: int, n: int) -> np.ndarray:
-    """Mask over n places: those in [s - before, s + width) for any s."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.clip(starts - before, 0, n), 1)
-    np.add.at(edge, np.clip(starts + width, 0, n), -1)
-    return np.cumsum(edge[:n]) > 0

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolled, keyed, mix, pieces, spread
+from .common import Rolled, keyed, mix, pieces, turn, within
 
 #: Every byte that is no part of a word becomes a space; capitals become small.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SCANNED = "doc_id long, uid long, n_words long, spans binary, items array<long>"
+SCANNED = "doc_id long, uid long, n_words long, n_hit long, spans binary, items array<long>"
 
 
 def words_in(text: bytes) -> list[bytes]:
@@ -73,6 +73,11 @@ def symbols(words: list[bytes]) -> np.ndarray:
     return mix(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
 
 
+def hit_words(spans: list[bytes], n: int) -> int:
+    """How many of n words lie in any of the spans (pairs of uint32: first word, length)."""
+    return int(within(spans, n).sum()) if any(spans) else 0
+
+
 def _parts(benchmark: DataFrame, width: int, most: int) -> list[dict[tuple[bytes, ...], list[int]]]:
     """The benchmark's windows with their items, in parts of at most `most`; the items arrive one partition at a time."""
     parts: list[dict] = [{}]
@@ -95,13 +100,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, most: int = 1_0
         cache: list[Windows] = []
 
         def f(batches: Iterator[pa.RecordBatch], sent=sent, cache=cache) -> Iterator[pa.RecordBatch]:
+            turn("decontam", lambda: None)
             if not cache:
                 cache.append(Windows(sent.value))
             for batch in batches:
                 for p in pieces(batch):
                     words = [words_in(t) for t in p.column("text").to_pylist()]
                     found = cache[0].scan(words)
-                    yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("uid"), pa.array([len(w) for w in words], pa.int64()), pa.array([np.array(s, "<u4").tobytes() for s, _ in found], pa.binary()), pa.array([sorted(i) for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "uid", "n_words", "spans", "items"])
+                    spans = [np.array(x, "<u4").tobytes() for x, _ in found]
+                    hits = [hit_words([x], len(w)) for x, w in zip(spans, words)]
+                    yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("uid"), pa.array([len(w) for w in words], pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(i) for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "uid", "n_words", "n_hit", "spans", "items"])
 
         out.append(docs.mapInArrow(f, SCANNED))
     return out
@@ -111,24 +119,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, most:
     """doc_id, uid, n_words, n_hit, items (sorted ids) and contaminated, a row per row of docs."""
     passes = scan(keyed(docs), benchmark, width, most)
     if len(passes) == 1:
-        found = passes[0].select("doc_id", "uid", "n_words", F.array("spans").alias("many"), "items", F.lit(1).cast("long").alias("times"))
+        out = passes[0]
     else:  # a row of each pass for each document; equal rows of docs come as often as they were
-        found = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "uid", "n_words").agg(F.collect_list("spans").alias("many"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(passes)).cast("long").alias("times"))
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = []
-            for n, many in zip(b.column("n_words").to_pylist(), b.column("many").to_pylist()):
-                s = np.frombuffer(b"".join(many), "<u4").reshape(-1, 2).astype(np.int64)
-                mask = np.zeros(n, bool)
-                for width_ in np.unique(s[:, 1]):
-                    mask |= spread(s[s[:, 1] == width_, 0], 0, int(width_), n)
-                hits.append(int(mask.sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "uid", "n_words", "items", "times")), pa.array(hits, pa.int64())], names=["doc_id", "uid", "n_words", "items", "times", "n_hit"])
-
-    out = found.mapInArrow(f, "doc_id long, uid long, n_words long, items array<long>, times long, n_hit long")
-    if len(passes) > 1:
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        found = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "uid", "n_words").agg(F.collect_list("spans").alias("many"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(passes)).cast("int").alias("times"))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = [hit_words(many, n) for n, many in zip(b.column("n_words").to_pylist(), b.column("many").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "uid", "n_words", "items", "times")), pa.array(hits, pa.int64())], names=["doc_id", "uid", "n_words", "items", "times", "n_hit"])
+
+        out = found.mapInArrow(merge, "doc_id long, uid long, n_words long, items array<long>, times int, n_hit long").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
     return out.select("doc_id", "uid", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolled, mix, pieces, ship
+from .common import Rolled, mix, pieces, ship, turn
 
 #: Letters that are scored in one run, and the longest piece that is used.
 CHUNK, LONGEST = 18, 8
 MARK = "▁"
 #: Probability of a letter that no piece has, and the words that a worker's cache holds at most.
-FLOOR, CACHE_WORDS = 1e-9, 600_000
+FLOOR, CACHE_WORDS = 1e-9, 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -208,6 +208,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] |
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        turn("langid", _SCORERS.clear)
         if m is not None and name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(m[1], m[2])

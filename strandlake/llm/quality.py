@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pieces, ship
+from .common import cut, mix, pieces, ship, turn
 
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
@@ -197,6 +197,7 @@ def score(docs: DataFrame, by_lang: dict[str | None, Model]) -> DataFrame:
     name = uuid.uuid4().hex
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality", _LOGS.clear)
         if name not in _LOGS:
             _LOGS.clear()
             _LOGS[name] = {}

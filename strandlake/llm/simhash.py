@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, pieces
+from .common import cut, keyed, pieces, turn
 from .graph import components
 
 
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, uid, fp): the fingerprint's 64 bits as a long, one row per row of docs."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("simhash", lambda: None)
         for batch in batches:
             for part in pieces(batch):
                 fp = np.array([fingerprint(shingle_hashes(t, k)) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)

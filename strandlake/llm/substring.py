@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, unpack, within
+from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
 WINDOW, BLOCK = 13, 7
 
@@ -69,6 +69,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = (_entries(part, [t.split() for t in part.column("text").to_pylist()], None, block) for batch in batches for part in pieces(batch))
+        turn("substring", lambda: None)
         yield from packed(entries, buckets, 5, _WIDTHS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

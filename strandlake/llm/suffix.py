@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, unpack, within
+from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
 WIDTH, BLOCKS, PRIME = 400, 4, 17
 _WIDTHS = (8, 4)
@@ -83,6 +83,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
     buckets = partitions_for(docs, 10)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix", lambda: None)
+
         def entries():
             for batch in batches:
                 for part in pieces(batch, most=PIECE):

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import turn
+
 #: Words that a worker's cache holds at most; it starts anew beyond that (about 200 bytes a word).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Punctuation that may end a word: a run of it after letters is a run of its own to the pre-tokenizer.
 TAIL = b".,;:!?"
 PROBE = "the école straße quickest über añade"
@@ -122,6 +124,7 @@ class Words:
 
 
 def words_of(path: str) -> Words:
+    turn("tokens", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = Words(path)
     return _OPEN[path]
