@@ -70,11 +70,12 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What Catalyst takes the plan's output for, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What Catalyst takes the plan's output for, in bytes; 0 where it knows no size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def partitions_for(df: DataFrame, mb: float) -> int:
     """So many partitions that each takes about mb of input; never fewer than the session asks for."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-input_bytes(df) // int(mb * 1e6))))
+    return max(least, min(20_000, -(-input_bytes(df) // int(mb * 1e6))))
