@@ -17,7 +17,7 @@ from ..session import cut, input_bytes, partitions_for, release, scratch, shared
 #: Bytes of text that a Python worker handles at a time.
 PIECE = 4_000_000
 #: Entries that a task gathers before it packs them into a row for each bucket.
-ENTRIES = 1_500_000
+ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,14 @@ def turn(owner: str, clear: Callable[[], None]) -> None:
     _POWERS.clear()
     _TURN[:] = [owner, clear]
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system, which a long-lived worker's allocator would keep."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 # --- rolling hashes -------------------------------------------------------------------------------------------------
@@ -155,6 +161,7 @@ def unpack(batches: Iterator[pa.RecordBatch], keep: int = 8, widths: tuple[int,
         for row in batch.to_pylist():
             held.setdefault(row["bucket"], []).append((row["n"], row["c0"], row["c1"], row["c2"], row["c3"]))
     for k in sorted(held):
+        trim()
         rows = held.pop(k)
         yield (np.concatenate([_unplanes(r[1], r[0], False, keep) for r in rows]).view(np.uint64), *(np.concatenate([_unplanes(r[i + 2], r[0], True, w) for r in rows]) for i, w in enumerate(widths)))
 
@@ -188,6 +195,12 @@ def packed(entries: Iterator[tuple[np.ndarray, list[np.ndarray]]], buckets: int,
             yield from flush()
     if held:
         yield from flush()
+    trim()
+
+
+def answer_buckets(buckets: int) -> int:
+    """Answers are a small part of what was asked: fewer, fuller rows carry them than one for each pair of buckets."""
+    return max(8, buckets // 2)
 
 
 def answers(entries: Iterator[list[np.ndarray]], buckets: int, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:

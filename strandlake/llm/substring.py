@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
+from .common import PACKED, Rolled, answer_buckets, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
 WINDOW, BLOCK = 13, 7
 
@@ -66,6 +66,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     spark = docs.sparkSession
     known = docs.where("doc_id is not null")
     buckets = partitions_for(docs, 10)
+    back = answer_buckets(buckets)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = (_entries(part, [t.split() for t in part.column("text").to_pylist()], None, block) for batch in batches for part in pieces(batch))
@@ -83,13 +84,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 found[order] = (d > least[run]) | (indexed & (d < most[run]))
                 yield [doc[found], tag[found], pos[found]]
 
-        yield from answers(anchors(), buckets, _WIDTHS)
+        yield from answers(anchors(), back, _WIDTHS)
 
     def gather(before: int, after: int):
         return lambda batches: assembled(batches, _KEYS, _WIDTHS, before, after)
 
     def dealt(df: DataFrame, f, before: int, after: int, name: str) -> DataFrame:
-        out = cut(exchange(exchange(df, buckets).mapInArrow(f, PACKED), buckets).mapInArrow(gather(before, after), "doc_id long, tag long, spans binary"), name)
+        out = cut(exchange(exchange(df, buckets).mapInArrow(f, PACKED), back).mapInArrow(gather(before, after), "doc_id long, tag long, spans binary"), name)
         release(spark)
         return out
 
@@ -115,7 +116,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 found[order] = d > np.minimum.reduceat(d, starts)[run]
                 yield [doc[found], tag[found], pos[found]]
 
-        yield from answers(again(), buckets, _WIDTHS)
+        yield from answers(again(), back, _WIDTHS)
 
     tagged = known.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
     anchored = tagged.join(held, _KEYS).select("doc_id", "uid", "text", "spans")

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, Rolled, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
+from .common import PACKED, Rolled, answer_buckets, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
-WIDTH, BLOCKS, PRIME = 400, 4, 17
+WIDTH, BLOCKS, PRIME = 400, 6, 17
 _WIDTHS = (8, 4)
 SPANS = "uid long, spans binary"
 #: Bytes of text that a worker hashes at a time.
@@ -81,6 +81,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
     residues = np.zeros(v, bool)
     residues[list(cover)] = True
     buckets = partitions_for(docs, 10)
+    back = answer_buckets(buckets)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn("suffix", lambda: None)
@@ -108,12 +109,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
                     many[order] = (np.diff(np.append(starts, len(h))) > 1)[run]
                     yield [uid[many], pos[many]]
 
-            yield from answers(tied(), buckets, _WIDTHS)
+            yield from answers(tied(), back, _WIDTHS)
 
         return f
 
     def dealt(df: DataFrame, keep: int, before: int, after: int, label: str) -> DataFrame:
-        out = cut(exchange(exchange(df, buckets).mapInArrow(again(keep), PACKED), buckets).mapInArrow(lambda x: assembled(x, ["uid"], _WIDTHS, before, after), SPANS), label)
+        out = cut(exchange(exchange(df, buckets).mapInArrow(again(keep), PACKED), back).mapInArrow(lambda x: assembled(x, ["uid"], _WIDTHS, before, after), SPANS), label)
         release(spark)
         return out
 
