@@ -249,7 +249,7 @@ def test_op8_forward_sums_all_segmentations():
 
 def test_sql_twins(spark, docs):
     con = duckdb.connect()
-    documents, benchmark = docs.select("doc_id", "text").toPandas(), spark.createDataFrame([(1, PASSAGE), (2, "one")], "item_id long, text string").toPandas()  # noqa: F841
+    documents, benchmark = docs.select("doc_id", "text").toArrow(), spark.createDataFrame([(1, PASSAGE), (2, "one")], "item_id long, text string").toArrow()  # noqa: F841
     for name in ("documents", "benchmark"):
         con.register(name, locals()[name])
     want = sorted(map(repr, con.sql(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, round(score, 9) FROM ({licenses.OP9_SQL})").fetchall()))
