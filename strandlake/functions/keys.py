@@ -57,22 +57,22 @@ def add_wrapping(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
 
 
-def multiply_wrapping(a: Column, m: int) -> Column:
-    """a * m modulo 2^64 for a constant m, as sums of 16-bit limbs of m times 32-bit halves of a."""
-    low, high = a.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(a, 32)
-    out = F.lit(0).cast("long")
-    for k in range(4):
-        limb = m >> 16 * k & 0xFFFF
-        if limb:
-            out = add_wrapping(out, F.shiftleft(low * F.lit(limb), 16 * k))
-            if 16 * k + 32 < 64:
-                out = add_wrapping(out, F.shiftleft(high * F.lit(limb), 16 * k + 32))
-    return out
+def _decimal(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
 
 
 def affine_step(x: Column, a: int, c: int) -> Column:
-    """a x + c modulo 2^64."""
-    return add_wrapping(multiply_wrapping(x, a), F.lit(c - MODULUS if c >> 63 else c).cast("long"))
+    """a x + c modulo 2^64, by 32-bit halves of x in decimals: no product reaches 10^38."""
+    low = x.bitwiseAND(F.lit(_LOW)).cast("decimal(38,0)")
+    high = F.shiftrightunsigned(x, 32).cast("decimal(38,0)")
+    upper = ((high * _decimal(a & _LOW)) % _decimal(1 << 32)) * _decimal(1 << 32)
+    d = (low * _decimal(a) + upper + _decimal(c)) % modulus()
+    return F.when(d >= _decimal(1 << 63), d - modulus()).otherwise(d).cast("long")
+
+
+def multiply_wrapping(x: Column, m: int) -> Column:
+    """x * m modulo 2^64 for a constant m."""
+    return affine_step(x, m, 0)
 
 
 def round_down(v: Column, base: int) -> Column:
