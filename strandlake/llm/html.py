@@ -51,7 +51,9 @@ CLOSED_BY = {
 #: A tag's end does not reach beyond the nearest of these around it.
 FENCE = frozenset("table td th article section main aside nav footer header div body html ul ol".split())
 PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>", re.S)
-ATTRIBUTES = re.compile(r"(class|id|role|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute: its name, then its value in quotes or without (an open quote runs to the tag's end).
+ATTRIBUTES = re.compile(r"([^\s/][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"']\S*)))?")
+READ = frozenset("class id role hidden style itemprop".split())
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -120,7 +122,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             continue
         names, hidden = frozenset(), False
         if rest:
-            found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTES.finditer(rest)}
+            found: dict[str, str] = {}
+            for a in ATTRIBUTES.finditer(rest):
+                if (name := a[1].lower()) in READ:
+                    found.setdefault(name, a[2] or a[3] or a[4] or "")  # the first of a name counts
             words = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
             names = frozenset(WORD.findall(words))
             hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()

@@ -84,6 +84,22 @@ def test_op2():
         assert isinstance(html.extract(odd, w, pair), str)
 
 
+def test_op2_attributes_are_names_and_values():
+    w, pair = html.trained()
+    words = "One two three, and so on it goes. Four five six, and more words of the same article follow here."
+    page = lambda tag, more="": html.extract(f"<body>{tag}<h1>Title</h1><p>{words}{more}</p><p>{words}</p></article></body>", w, pair)
+    whole = f"Title\n\n{words}\n\n{words}"
+    for tag in ("<article>", '<article aria-hidden="false">', '<article data-title="A hidden valley">', "<article title='x hidden=y' data-id=z>", "<article data-hidden>"):
+        assert page(tag) == whole, tag
+    assert page("<article>", ' <a href="/hidden-valley.html">seven</a> and eight.') == f"Title\n\n{words} seven and eight.\n\n{words}"
+    for tag in ("<article hidden>", '<article class="x"HIDDEN>', "<article id=a hidden=''>", '<article style="color:red; display: none">'):
+        assert page(tag) == "", tag
+    names = lambda tag: html.parse(tag)[0][1].names
+    assert names('<div id="content" width="5" data-grid="ad">') == {"content"}
+    assert names("<div data-class=ad CLASS = 'post body' id=main/>") == {"post", "body", "main"}
+    assert names('<div id=main id="ad">') == {"main"}
+
+
 def test_op2_messages_are_exact():
     nodes, texts = html.parse("<div><p>a</p><p>b<b>c</b></p></div>")
     own, pair = rng.normal(size=len(nodes)), rng.normal(size=(2, 2))
