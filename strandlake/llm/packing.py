@@ -2,11 +2,12 @@
 
 Texts become ids, an end id is appended, and documents longer than a sequence are cut into full sequences and a rest.
 The histogram (at most `capacity` lengths, so it fits the driver at any size) gives the covering program: fewest
-sequences, each filled after one configuration, that hold all pieces. Multiplicative weights solve it: every length has
-a weight, a knapsack dynamic program finds the configuration of most weight, it is used for a while, and the weights of
-the lengths it covered shrink. Whole parts of the solution are kept; what rounding leaves goes best fit first into the
-space that is left. The plan is a list of configurations with counts, of a size that depends on `capacity` alone. Pieces
-are numbered within their length, by a count per (length, salt) and a rank in it, and the plan turns numbers into places.
+sequences, each filled after one configuration, that hold all pieces. Multiplicative weights solve it: a length weighs
+less the more it is covered beyond its turn, a knapsack dynamic program prices all spaces at once, and lengths that lack
+take the best configurations that hold them, until every length is covered in full and none by more than the tolerance.
+The solution is rounded and the program solved anew for what is left; the last few pieces go best fit first. The plan is
+a list of configurations with counts, of a size that depends on `capacity` alone. Pieces are numbered within their
+length, by a count per (length, salt) and a rank in it, and the plan turns numbers into places.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as often as they
 occur; an empty table has no rows; other columns are not read.
@@ -14,6 +15,7 @@ occur; an empty table has no rows; other columns are not read.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut, pieces, texts
 from .tokens import vocabulary, words_of
 
+LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
 
@@ -47,34 +50,36 @@ def token_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> Dat
     return texts(docs).mapInArrow(cutter, PIECES)
 
 
-def knapsack(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """Configuration (index of a length -> times) of most weight that fits, by dynamic programming over the space used.
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the most weight in each space, and the index of a length that ends such a filling.
 
-    Each length may be used up to limits[k] times; the walk back obeys them, which keeps the result a valid packing.
+    Spaces that are best left partly empty have the answer of the largest space below, -1 if nothing fits.
     """
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    by, w = lengths[order], weights[order]
-    for c in range(int(by[0]) if len(by) else capacity + 1, capacity + 1):
-        n = np.searchsorted(by, c, "right")
-        got = best[c - by[:n]] + w[:n]
+    for c in range(int(lengths[0]) if len(lengths) else capacity + 1, capacity + 1):  # lengths ascend
+        n = np.searchsorted(lengths, c, "right")
+        got = best[c - lengths[:n]] + weights[:n]
         k = int(got.argmax())
         if got[k] > best[c - 1]:
-            best[c], pick[c] = got[k], order[k]
+            best[c], pick[c] = got[k], k
         else:
             best[c], pick[c] = best[c - 1], -2
-    out: dict[int, int] = {}
-    c = capacity
+    return best, pick
+
+
+def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
+    """The filling of most weight that holds length `first`; where a limit cuts it short, best fit fills the space."""
+    out, c = {first: 1}, capacity - int(lengths[first])
     while c > 0 and pick[c] != -1:
-        k = pick[c]
+        k = int(pick[c])
         if k == -2:
             c -= 1
             continue
         if out.get(k, 0) < limits[k]:
-            out[int(k)] = out.get(int(k), 0) + 1
+            out[k] = out.get(k, 0) + 1
         c -= int(lengths[k])
-    return out
+    return fill(out, lengths, limits, capacity)
 
 
 def fill(config: dict[int, int], lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -96,40 +101,75 @@ def fill(config: dict[int, int], lengths: np.ndarray, left: np.ndarray, capacity
     return config
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 0.5) -> list[tuple[int, list[tuple[int, int]]]]:
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, steps: int = 8, batch: int = 64, rate: float = 0.1, tolerance: float = 0.02, power: float = 1.3) -> tuple[dict[tuple, float], float]:
+    """Covering program by multiplicative weights: configurations with the times each is used, and a lower bound.
+
+    A step raises the share of every length that must be covered by 1 / steps, and ends when all are. The longest that
+    lack are served first, as they fit least often, `batch` to a pricing: each takes the configuration of most weight that
+    holds it, as often as the length lacks or another in it has room for. A length's weight falls the more it is covered beyond its turn, and
+    it has no room left when it is covered 1 + tolerance times. The bound is the best of duals' values: need at prices
+    at which no filling costs more than one (space taken, one for lengths over half, or the weights).
+    """
+    volume, room = lengths / capacity, need * (1 + tolerance)
+    done, used = np.zeros(len(lengths)), {}
+    bound = max(float(volume @ need), float(need[2 * lengths > capacity].sum()))
+    for step in range(1, steps + 1):
+        target = need * step / steps
+        while len(short := np.flatnonzero(done < target - 1e-9 * need)):
+            ahead = np.clip((done - target) / need * steps, -1, 30)
+            # A first weight that grows faster than the space a piece takes: long pieces are harder to place.
+            weight = volume**power * np.exp(-rate * ahead)
+            best, pick = price(lengths, weight, capacity)
+            bound = max(bound, float(weight @ need / best[capacity]))
+            for k in short[::-1][:batch].tolist():
+                if done[k] >= target[k]:
+                    continue
+                config = configuration(k, pick, lengths, np.where(room > 0.1 * tolerance * need, need, 0), capacity)
+                x = min((target[k] - done[k]) / config[k], min(room[j] / n for j, n in config.items()))
+                used[key] = used.get(key := tuple(sorted(config.items())), 0.0) + x
+                for j, n in config.items():
+                    done[j] += n * x
+                    room[j] -= n * x
+    return used, bound
+
+
+def cover(lengths: np.ndarray, need: np.ndarray, capacity: int, passes: int = 6) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
+    """The program's solution rounded, as in plan(), and the pieces of each length that it leaves.
+
+    A configuration is used as often as the program does, rounded up, while all its pieces are there and if it is as full
+    as the program's are on average. Then the program of what is left is solved, until it places a small part of it.
+    """
+    left, out = need.copy(), []
+    for number in range(passes):
+        live = np.flatnonzero(left)
+        before = int(left.sum())
+        if not before:
+            break
+        used, bound = solve(lengths[live], left[live], capacity)
+        size = {c: sum(int(lengths[live[k]]) * m for k, m in c) for c in used}
+        value = sum(used.values())
+        least = min(0.995 * capacity, sum(size[c] * x for c, x in used.items()) / value - 1e-6)
+        for config, x in sorted(used.items(), key=lambda kv: (-int(kv[1]), -size[kv[0]], -kv[1])):
+            n = min(int(np.ceil(x - 1e-9)), min(int(left[live[k]]) // m for k, m in config))
+            if n > 0 and size[config] >= least:
+                out.append((n, [(int(lengths[live[k]]), m) for k, m in config]))
+                for k, m in config:
+                    left[live[k]] -= n * m
+        placed = before - int(left.sum())
+        LOG.info("pass %d: %d lengths, program %.1f sequences, lower bound %.1f, rounding placed %d of %d pieces", number, len(live), value, bound, placed, before)
+        if placed < 0.2 * before:
+            break
+    return out, left
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Configurations (times used, [(length, pieces of it), ...]) that hold all pieces of the histogram exactly."""
     if not histogram:
         return []
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(x)] for x in lengths], np.int64)
-    # A first weight in proportion to the length makes the first price the space that a piece takes.
-    weight = lengths / capacity
-    used: dict[tuple, float] = {}
-    done = np.zeros(len(lengths))
-    for _ in range(rounds):
-        config = fill(knapsack(lengths, weight, need, capacity), lengths, need, capacity)
-        if not config:
-            break
-        ks = np.fromiter(config, np.int64)
-        ns = np.fromiter(config.values(), np.float64)
-        share = float((need[ks] / ns).min())  # as often as its scarcest length allows
-        used[key] = used.get(key := tuple(sorted(config.items())), 0.0) + share
-        done[ks] += ns * share
-        weight[ks] *= np.exp(-rate * ns * share / need[ks])
-        weight /= weight.max()
-        np.maximum(weight, 1e-9 * lengths / capacity, out=weight)
-        if (done >= need).all() and len(used) > 50:
-            break
-    # The fractional solution, scaled so that no length is covered more than once over, then rounded down.
-    scale = min(1.0, 1 / max(1e-9, float((done / need).max())))
-    left, out = need.copy(), []
-    for config, x in sorted(used.items(), key=lambda kv: -kv[1]):
-        # A configuration joins only as often as all its pieces are still there, and if it is nearly full.
-        n = min(int(x * max(scale, 0.0)), min(int(left[k]) // m for k, m in config))
-        if n > 0 and sum(int(lengths[k]) * m for k, m in config) >= 0.995 * capacity:
-            out.append((n, [(int(lengths[k]), m) for k, m in config]))
-            for k, m in config:
-                left[k] -= n * m
+    out, left = cover(lengths, need, capacity)
+    LOG.info("the program placed %d of %d pieces, %d of %d tokens", (need - left).sum(), need.sum(), lengths @ (need - left), lengths @ need)
     # The rest: the longest piece that is left opens a sequence, and the fullest filling of its space by pieces that are
     # left joins it. The same sequence is used as often as its pieces last.
     while left.any():

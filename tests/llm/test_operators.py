@@ -236,6 +236,27 @@ def test_packing_plan(lengths):
     assert sum(t for t, _ in plan) <= bound * 1.02 + 1
 
 
+def test_packing_program_covers_and_places_the_pieces():
+    draw = np.random.default_rng(11)
+    h = Counter(np.minimum(4096, 1 + draw.lognormal(6, 1, 2000).astype(int)).tolist())
+    lengths, need = np.array(sorted(h)), np.array([h[x] for x in sorted(h)])
+    used, bound = packing.solve(lengths, need, 4096)
+    done = np.zeros(len(lengths))
+    for config, x in used.items():
+        assert sum(lengths[k] * m for k, m in config) <= 4096
+        for k, m in config:
+            done[k] += m * x
+    assert (done >= need * (1 - 1e-6)).all() and (done <= need * 1.02 + 1e-6).all()
+    assert sum(used.values()) <= 1.04 * bound and bound >= lengths @ need / 4096 - 1e-6
+    out, left = packing.cover(lengths, need, 4096)
+    assert left.sum() < 0.2 * need.sum()
+    placed = Counter()
+    for times, parts in out:
+        for a, b in parts:
+            placed[a] += times * b
+    assert all(placed[a] + r == n for a, r, n in zip(lengths.tolist(), left, need))
+
+
 def test_op8(spark, none):
     syllables = {"aa": "the ing ion er an".split(), "bb": "der ung sch ein ich".split(), "cc": "que los ado ez ar".split()}
     rows = [(k, " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(30)), lang) for k, lang in enumerate(list(syllables) * 60)]
