@@ -1,7 +1,8 @@
 """Columns over unsigned 64-bit keys, held as the same 64 bits in a long.
 
 All order, shifts and arithmetic on keys go through here: Spark has no unsigned type, and its ANSI arithmetic raises
-where keys must wrap. A null key is an error to the operators (require_keys), not a place in the order.
+where keys must wrap. A null key has no place in the order: operators that order, split or add up keys fail on one
+(require_keys) when they run.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def block_of(pos: Column, width: int, block_bytes: int) -> Column:
     return F.floor(pos * F.lit(width) / F.lit(block_bytes)).cast("long")
 
 
+def compare_exchange(a: Column, b: Column) -> tuple[Column, Column]:
+    """(smaller, larger) of two keys, unsigned."""
+    return flip(F.least(flip(a), flip(b))), flip(F.greatest(flip(a), flip(b)))
+
+
 def require_keys(df: DataFrame, *columns: str) -> DataFrame:
     """df, failing on a null in these columns when it runs."""
     return df.select(*(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))

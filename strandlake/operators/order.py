@@ -5,38 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import flip, modulus, unsigned
-from ..session import cut
+from ..functions.keys import flip, modulus, require_keys, unsigned
+from ..session import cut, partitions_for
 
 
 def sort_ranked(df: DataFrame, key: str = "k", parts: int | None = None) -> DataFrame:
-    """df in ascending unsigned order of key, with rk from 1.
+    """df in ascending unsigned order of key, with rk from 1. A null key fails.
 
-    One range exchange and a sort in each partition. A running number breaks ties, so that a key with a third of all
-    rows is spread over partitions too. The sorted rows are written to the shared folder once; a partition's ranks are
-    its rows' numbers after the counts of the partitions before, of which there is one row each.
+    The sorted rows are written to the shared folder once; a partition's ranks are its rows' numbers after the counts
+    of the partitions before, of which there is one row each.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = df.columns
-    rows = df.withColumn("__tie", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(parts, flip(F.col(key)), "__tie").sortWithinPartitions(flip(F.col(key)), "__tie")
-    rows = rows.select(*names, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
+    rows = sort(df, key, parts).select(*names, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
     rows = cut(rows, "sorted")
-    at, before = 0, []
-    for r in sorted(rows.groupBy("__part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["__part"]):
-        before.append((r["__part"], at))
-        at += r["n"]
-    offsets = F.broadcast(df.sparkSession.createDataFrame(before or [(-1, 0)], "__part int, __before long"))  # a row a partition
+    before = _offsets(rows.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    offsets = F.broadcast(df.sparkSession.createDataFrame(list(before.items()) or [(-1, 0)], "__part int, __before long"))  # a row a partition
     return rows.join(offsets, "__part").select(*names, (F.col("__before") + F.col("__row") + 1).alias("rk"))
 
 
+def sort(df: DataFrame, key: str = "k", parts: int | None = None) -> DataFrame:
+    """df in ascending unsigned order of key, partition after partition, by one range exchange and a sort in each
+    partition. A null key fails.
+
+    A running number takes part in the ranges, so that a key with a third of all rows is spread over partitions. It is
+    no sort key: rows of equal keys have no order.
+    """
+    parts = parts or partitions_for(df, 64)
+    rows = require_keys(df, key).withColumn("__tie", F.monotonically_increasing_id())
+    return rows.repartitionByRange(parts, flip(F.col(key)), "__tie").sortWithinPartitions(flip(F.col(key))).drop("__tie")
+
+
+def _offsets(counts: list) -> dict[int, int]:
+    """For each partition number the rows of those before it, from rows (number, count)."""
+    at, out = 0, {}
+    for part, n in sorted((r[0], r[1]) for r in counts):
+        out[part] = at
+        at += n
+    return out
+
+
 def check_sorted(df: DataFrame, pos: str = "pos", key: str = "k", block: int = 1 << 20) -> DataFrame:
     """One row: n_unsorted (neighbours by pos of which the first is larger, unsigned) and n_processed.
 
     Neighbours meet within blocks of positions; across blocks, the ends of each block do.
     """
     w = Window.partitionBy("b").orderBy("p")
-    rows = df.select(F.col(pos).alias("p"), flip(F.col(key)).alias("f"), F.floor(F.col(pos) / F.lit(block)).alias("b"))
+    rows = require_keys(df.select(F.col(pos).alias("p"), F.col(key).alias("k")), "k").select("p", flip(F.col("k")).alias("f"), F.floor(F.col("p") / F.lit(block)).alias("b"))
     inner = rows.withColumn("bad", F.coalesce((F.lag("f").over(w) > F.col("f")).cast("long"), F.lit(0)))
     blocks = inner.groupBy("b").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.min(F.struct("p", "f"))["f"].alias("first"), F.max(F.struct("p", "f"))["f"].alias("last"))
     over = Window.orderBy("b")  # a row a block
@@ -56,8 +70,10 @@ def wrapping_sum(k: Column) -> Column:
 
 
 def lane_sums(df: DataFrame, lanes: int = 2, pos: str = "pos", key: str = "k") -> DataFrame:
-    """(lane, total): sums modulo 2^64 of the words at positions of each remainder; partial sums go before the shuffle."""
-    return df.groupBy(F.pmod(F.col(pos), F.lit(lanes)).cast("int").alias("lane")).agg(wrapping_sum(F.col(key)).alias("total"))
+    """(lane, total): sums modulo 2^64 of the words at positions of each remainder; partial sums go before the shuffle.
+    A null key fails."""
+    rows = require_keys(df.select(F.col(pos).alias("pos"), F.col(key).alias("k")), "k")
+    return rows.groupBy(F.pmod(F.col("pos"), F.lit(lanes)).cast("int").alias("lane")).agg(wrapping_sum(F.col("k")).alias("total"))
 
 
 def sort_small_arrays(df: DataFrame, group: str, key: str = "k") -> DataFrame:

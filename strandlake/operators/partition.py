@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import digit, flip
+from ..session import cut, partitions_for
+from .order import sort
 
 
 def histogram(df: DataFrame, bits: int = 8, key: str = "k") -> DataFrame:
@@ -14,16 +16,17 @@ def histogram(df: DataFrame, bits: int = 8, key: str = "k") -> DataFrame:
 
 
 def two_level(df: DataFrame, first: int = 8, second: int = 8, key: str = "k") -> DataFrame:
-    """(d0, d1, n): counts by the first two digits."""
+    """(d0, d1, n): counts by the first two digits. Where the two are longer than the key, the second digit starts at
+    its last bit and overlaps the first."""
     k = F.col(key)
     return df.groupBy(digit(k, 64 - first).alias("d0"), digit(k, 64 - first - second, second).alias("d1")).agg(F.count("*").alias("n"))
 
 
-def by_digit(df: DataFrame, bits: int = 6, key: str = "k") -> DataFrame:
-    """df with its top digit in `digit`, each digit's rows in the partition of that number, in unsigned order there: the
-    partitions one after another are the global order."""
-    rows = df.withColumn("digit", digit(F.col(key), 64 - bits).cast("int"))
-    return rows.repartitionById(1 << bits, F.col("digit")).sortWithinPartitions("digit", flip(F.col(key)))
+def by_digit(df: DataFrame, bits: int = 6, key: str = "k", parts: int | None = None) -> DataFrame:
+    """df with its top digit in `digit` and in unsigned order, partition after partition. Each digit's rows are in
+    neighbouring partitions: small digits share one, a digit (or key) with most of the rows has many, as the ranges
+    come from the keys' distribution and a running number breaks ties."""
+    return sort(df, key, parts or max(1 << bits, partitions_for(df, 64))).withColumn("digit", digit(F.col(key), 64 - bits).cast("int"))
 
 
 def drained(df: DataFrame, key: str = "k") -> DataFrame:
@@ -31,3 +34,17 @@ def drained(df: DataFrame, key: str = "k") -> DataFrame:
     rows = df.withColumn("part", F.spark_partition_id())
     f = flip(F.col(key))
     return rows.groupBy("digit", "part").agg(F.count("*").alias("n"), flip(F.min(f)).alias("low"), flip(F.max(f)).alias("high"))
+
+
+def concatenated(pieces: DataFrame) -> DataFrame:
+    """drained() pieces as the ordered union of the digits: (digit, n, low, high, first) where first is the place of the
+    digit's first key in the whole, from 0. There are at most 2^bits digits."""
+    f = flip(F.col("low"))
+    pieces = cut(pieces, "pieces")  # a row a digit and partition
+    digits = pieces.groupBy("digit").agg(F.sum("n").alias("n"), flip(F.min(f)).alias("low"), flip(F.max(flip(F.col("high")))).alias("high"))
+    counts = {r["digit"]: r["n"] for r in digits.select("digit", "n").collect()}
+    at, rows = 0, []
+    for d in sorted(counts):
+        rows.append((d, at))
+        at += counts[d]
+    return digits.join(F.broadcast(pieces.sparkSession.createDataFrame(rows, "digit int, first long")), "digit")

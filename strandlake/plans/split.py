@@ -1,39 +1,38 @@
-"""How many bits of a key each level of a radix partitioning takes."""
+"""How many bits of a key each level of a radix partitioning takes.
+
+The plan has two parts. The first tells n evenly spread keys apart until a leaf holds at most LEAF of them: it needs
+ceil(log2(n / LEAF)) bits. The second serves keys that share those bits and takes the rest of the key. Each part has as
+few levels as MOST_BITS allows, of even widths, wider ones first. Together they take every bit of the key once, so keys
+that are still together after the last level are equal.
+"""
 
 from __future__ import annotations
 
+from ..errors import StreamError
+
 #: Keys that a leaf may hold, and bits that one level takes at most.
-LEAF_BITS, MOST_BITS = 3, 8
+LEAF, MOST_BITS = 8, 8
+WIDTHS = (8, 16, 32, 64)
+
+
+def even(bits: int) -> list[int]:
+    """Bits over as few levels as MOST_BITS allows."""
+    levels = -(-bits // MOST_BITS)
+    return [(bits + levels - 1 - k) // levels for k in range(levels)]
 
 
 def plan_splits(n: int, key_bits: int = 64) -> list[int]:
-    """Bit widths, first level first; empty if n keys need no split.
-
-    The bits that tell n keys apart (rounded up where n is over 4/3 of a power of two), less those that a leaf leaves
-    to its sort, are spread over as few levels as MOST_BITS allows, earlier levels taking the extra bits. Levels of the
-    last width follow until the key is used up: they serve keys that share their first digits.
-    """
-    if n < 0 or key_bits not in (8, 16, 32, 64):
-        raise ValueError("n must not be negative, key_bits 8, 16, 32 or 64")
-    if n == 0:
-        return []
-    power = n.bit_length() - 1
-    power += 3 * n > 4 << power
-    bits = key_bits if key_bits < power else power - LEAF_BITS
-    if bits <= 0:
+    """Bit widths, first level first; empty if n keys fit a leaf."""
+    if n < 0 or key_bits not in WIDTHS:
+        raise StreamError("n must not be negative, key_bits 8, 16, 32 or 64")
+    leaves = -(-n // LEAF)
+    if leaves <= 1:
         return []
-    levels = -(-bits // MOST_BITS)
-    base, extra = divmod(bits, levels)
-    widths = [base + (k < extra) for k in range(levels)]
-    while sum(widths) <= key_bits:
-        widths.append(widths[-1])
-    return widths
+    front = min(key_bits, (leaves - 1).bit_length())
+    return even(front) + even(key_bits - front)
 
 
 def shifts(widths: list[int], key_bits: int = 64) -> list[int]:
-    """The right shift of each level's digit; the last may overlap bits that are equal by then."""
-    out, left = [], key_bits
-    for w in widths:
-        left -= w
-        out.append(max(0, left))
-    return out
+    """The right shift of each level's digit, for a key in the high key_bits of its word's width."""
+    ends = [sum(widths[: k + 1]) for k in range(len(widths))]
+    return [max(0, key_bits - e) for e in ends]

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -70,12 +71,16 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What Catalyst takes the plan's output for, in bytes; 0 where it knows no size."""
+    """What Catalyst takes the plan's output for, in bytes; where it knows no size, what the rows hold, counted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    if size < 1 << 60:
+        return size
+    held = [F.octet_length(c).cast("long") if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes]
+    each = [F.coalesce(F.sum(x), F.lit(0)) for x in held]
+    return int(sum(df.agg(*(x.alias(f"c{k}") for k, x in enumerate(each))).first()))
 
 
 def partitions_for(df: DataFrame, mb: float) -> int:
-    """So many partitions that each takes about mb of input; never fewer than the session asks for."""
+    """So many partitions that each takes about mb of input, however large that is; never fewer than the session asks for."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(20_000, -(-input_bytes(df) // int(mb * 1e6))))
+    return max(least, -(-input_bytes(df) // int(mb * 1e6)))
