@@ -1,12 +1,13 @@
 """SimHash near-duplicate groups through an inverted index of byte positions with count filtering.
 
-A text's fingerprint has 64 bits. Two fingerprints that differ in at most d bits differ in at most d of their 8 bytes,
-so they share at least 8 - d bytes at the same positions. Single (position, byte) postings would each hold a 256th of
-all fingerprints, so the index holds the sets of 8 - d positions: a posting list has the fingerprints that agree on such
-a set, every pair in it reaches the guaranteed number of shared bytes, and no pair that reaches it is missed. A list has
-at most 2^(8 d) different fingerprints (2^16 for d = 2), whatever the number of documents. Within a list the shared bytes are tallied
-and the bits compared; a list gives a link from each fingerprint to the least one it reaches there, never all pairs.
-Only different fingerprints enter the index, so copies cost one entry; components follow by contraction.
+A text's fingerprint has 64 bits in 8 bytes. Two fingerprints that differ in at most d bits share at least 8 - d bytes at
+the same positions, the guaranteed count. The positions are dealt into cells (four of two bytes for d = 2, eight of one
+byte for d = 4), of which d bits spoil d at most, so linked fingerprints agree on `cells - d` cells: a posting list holds
+the fingerprints that agree on such a choice of cells, 32 bits in either case, as single bytes would each hold a 256th
+of all rows. Within a list the bytes shared at all eight positions are tallied for each pair; pairs that reach the
+guaranteed count are kept and verified by their bits. A list gives a link from each fingerprint to the least one it
+reaches there, never all pairs. Only different fingerprints enter the index, so copies cost one entry; components follow
+by contraction.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other; rows that
 repeat are rows of the result each; a null doc_id never names a component unless all its members are null.
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, pieces, turn
+from .common import cut, keyed, partitions_for, pieces, turn
 from .graph import components
 
 
@@ -64,33 +66,51 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return keyed(docs).mapInArrow(f, "doc_id long, uid long, fp long")
 
 
+_LOW7, _HIGH1 = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def _masks(places: list[int], bits: int) -> int:
+    """How many ways there are to turn so many of the places, at most."""
+    return sum(comb(len(places), r) for r in range(1, bits + 1))
+
+
+def _near(fps: np.ndarray, label: np.ndarray, bits: int, need: int, sure: int) -> np.ndarray:
+    """For each fingerprint the least label among those linked to it: pairs by the tally of shared bytes (unless the list
+    makes sure of as many), then their bits."""
+    out = label.copy()
+    for at in range(0, len(fps), 256):
+        x = fps[at : at + 256, None] ^ fps[None, :]
+        if sure < need:
+            differ = np.bitwise_count(((x & _LOW7) + _LOW7 | x) & _HIGH1)  # bytes that aren't zero
+            row, own = np.nonzero(8 - differ >= need)
+            ok = np.bitwise_count(x[row, own]) <= bits
+            row, own = row[ok], own[ok]
+        else:
+            row, own = np.nonzero(np.bitwise_count(x) <= bits)
+        np.minimum.at(out, at + row, label[own])
+    return out
+
+
 def _least_reached(fps: np.ndarray, free: int, bits: int, need: int) -> np.ndarray:
-    """For the different fingerprints of one posting list: the least one that each reaches through links in the list."""
+    """For the different fingerprints of one posting list, ascending: the least one that each reaches through links in
+    the list. A list with more fingerprints than there are ways to turn `bits` of its free bits looks the turned ones up
+    instead of tallying pairs, so the work for a fingerprint has a bound that the list's length can't exceed."""
     n = len(fps)
-    label = np.arange(n)  # fps ascend, so the least index is the least fingerprint
-    if n <= 128:
-        x = fps[:, None] ^ fps[None, :]
-        octets = x.view(np.uint8).reshape(n, n, 8)
-        tally = (octets == 0).sum(axis=2)
-        linked = (tally >= need) & (np.bitwise_count(x) <= bits)
-        while True:
-            new = np.where(linked, label[None, :], n).min(axis=1)
-            new = new[new]
-            if (new == label).all():
-                return fps[label]
-            label = new
-    # Long lists: look each neighbour up instead of comparing all pairs.
+    label = np.arange(n)  # the least index is the least fingerprint
     places = [b for b in range(64) if free >> b & 1]
-    masks = [sum(1 << b for b in c) for r in range(1, bits + 1) for c in combinations(places, r)]
-    near = []
-    for m in masks:
-        other = fps ^ np.uint64(m)
-        at = np.minimum(np.searchsorted(fps, other), n - 1)
-        near.append(np.where(fps[at] == other, at, np.arange(n)).astype(np.int32))
+    near: list[np.ndarray] = []
+    if n > _masks(places, bits):
+        for c in (c for r in range(1, bits + 1) for c in combinations(places, r)):
+            other = fps ^ np.uint64(sum(1 << b for b in c))
+            at = np.minimum(np.searchsorted(fps, other), n - 1)
+            near.append(np.where(fps[at] == other, at, np.arange(n)).astype(np.int32))
     while True:
-        new = label
-        for at in near:
-            new = np.minimum(new, label[at])
+        if near:
+            new = label
+            for at in near:
+                new = np.minimum(new, label[at])
+        else:
+            new = _near(fps, label, bits, need, 8 - -(-len(places) // 8))
         new = new[new]
         if (new == label).all():
             return fps[label]
@@ -99,12 +119,16 @@ def _least_reached(fps: np.ndarray, free: int, bits: int, need: int) -> np.ndarr
 
 def near_links(different: DataFrame, bits: int = 2) -> DataFrame:
     """different (fp long, all different) -> links (u, v) that join exactly the fingerprints within so many bits."""
+    if not 1 <= bits <= 6:
+        raise ValueError("1 to 6 bits may differ")
     need = 8 - bits
     spark = different.sparkSession
-    sets = [sum(0xFF << 8 * p for p in range(8) if p not in out) for out in combinations(range(8), bits)]
+    wide = 2 if bits <= 2 else 1  # bytes in a cell
+    cells = [sum(0xFF << 8 * (wide * c + k) for k in range(wide)) for c in range(8 // wide)]
+    sets = [sum(chosen) for chosen in combinations(cells, len(cells) - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in sets]
     index = different.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("set", "post"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(different, 4))
     index = index.repartition(parts, "set", "post").sortWithinPartitions("set", "post", "fp")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

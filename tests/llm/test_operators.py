@@ -325,32 +325,36 @@ def test_op10(docs, none):
     assert simhash.one_of_each(docs).groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def test_op10_links_in_dense_lists(spark):
-    base = [signed_ for signed_ in range(1, 4000, 3)]  # one posting list holds them all
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in base], "fp long")).collect()
-    parent = {x: x for x in base}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for r in links:
-        assert parent[r["u"]] is not None
-        parent[find(r["u"])] = find(r["v"])
-    true = {x: x for x in base}
-
-    def top(x):
-        while true[x] != x:
-            x = true[x]
-        return x
-
-    for i, x in enumerate(base):
-        for y in base[i + 1 :]:
-            if (x ^ y).bit_count() <= 2:
-                true[top(x)] = top(y)
-    assert len({find(x) for x in base}) == len({top(x) for x in base})
-    assert len(links) <= 28 * len(base)
+@pytest.mark.parametrize("bits", [2, 4])
+def test_op10_links_in_dense_lists(spark, bits):
+    near = [x ^ (1 << int(b)) for x in rng.integers(0, 1 << 62, 40).tolist() for b in rng.integers(0, 62, 6)]
+    base = sorted({*range(1, 4000, 3), *near, 0, (1 << 63) - 1})  # lists of all lengths: most values share 32 bits and more
+    signed = [(x,) for x in base] + [(-1,), (-2,), (-(1 << 63),)]
+    links = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.near_links(spark.createDataFrame(signed, "fp long"), bits).collect()]
+    base = np.array([x % (1 << 64) for (x,) in signed], np.uint64)
+
+    def roots(pairs):
+        parent = {int(x): int(x) for x in base}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for u, v in pairs:
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+        return [find(int(x)) for x in base]
+
+    linked = [(int(base[i]), int(base[j])) for i in range(len(base)) for j in np.flatnonzero(np.bitwise_count(base[i] ^ base) <= bits)]
+    assert roots(links) == roots(linked)
+    assert len(links) <= (6 if bits == 2 else 70) * len(base)
+
+
+def test_op10_tally_drops_pairs_that_share_a_list_alone():
+    a = np.array([0, 0x01010101], np.uint64)  # four bytes shared, four differ
+    assert (simhash._least_reached(a, 0xFFFFFFFF, 2, 6) == a).all()
+    assert (simhash._least_reached(a, 0xFFFFFFFF, 4, 4) == 0).all()
 
 
 def test_pipeline(spark, docs, tmp_path):
