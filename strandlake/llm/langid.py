@@ -1,10 +1,11 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over
-all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. Words are runs of
-letters in lower case with the vocabulary's word mark in front; words of more than CHUNK letters are scored in chunks.
-The piece probabilities come from expectation maximisation (forward-backward) over a bounded sample of labelled rows:
-at most `sample` documents of each language, those whose hash of doc_id is least. Every text is scored whole.
+Each language has a probability for every piece of a fixed public vocabulary, of whatever length. The probability of a
+word is the sum over all its segmentations into pieces, by the forward algorithm over the whole word; a text's is the
+product over its words. Words are runs of letters in lower case with the vocabulary's word mark in front. Probabilities
+of long words are kept in range by rescaling. The piece probabilities come from expectation maximisation
+(forward-backward) over a bounded sample of labelled rows: at most `sample` documents of each language, those whose hash
+of doc_id is least. Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing is labelled.
 Ties go to the language that sorts first. The score is the posterior of the language under equal priors. A null doc_id
@@ -19,16 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolled, mix, pieces, ship, turn
 
-#: Letters that are scored in one run, and the longest piece that is used.
-CHUNK, LONGEST = 18, 8
 MARK = "▁"
 #: Probability of a letter that no piece has, and the words that a worker's cache holds at most.
 FLOOR, CACHE_WORDS = 1e-9, 300_000
+#: Entries of a lattice that are worked on at a time, letters between rescalings, and what a letter's probability is
+#: multiplied by in training, where the sums over a word stay in range without rescaling.
+ENTRIES, STRIDE, GAIN = 4_000_000, 16, 50.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,19 +42,17 @@ def words_of_text(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def chunks(word: str) -> list[str]:
-    word = MARK + word
-    return [word[k : k + CHUNK] for k in range(0, len(word), CHUNK)]
-
-
 class Vocabulary:
-    """Finds the pieces that start at each letter of many words at once."""
+    """Finds the pieces that end at each letter of many words at once."""
 
     def __init__(self, names: list[str]):
-        names = sorted({n for n in names if 0 < len(n) <= LONGEST and all(c.isalpha() or c == MARK for c in n)})
+        names = sorted({n for n in names if n and all(c.isalpha() or c == MARK for c in n)})
         self.size = len(names)
+        self.longest = max(map(len, names), default=1)
+        #: Letters of each piece; none for no piece, one for an unknown letter.
+        self.letters = np.array([*map(len, names), 0, 1], np.float64)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             own = [k for k, x in enumerate(names) if len(x) == n]
             if own:
                 h = Rolled(self._symbols("".join(names[k] for k in own))).windows(np.arange(0, n * len(own), n), n)
@@ -64,33 +64,44 @@ class Vocabulary:
         return mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
 
     def lattices(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length: the words' places in the list, and the piece that starts at a letter with each number of
-        letters (word, letter, letters - 1); self.size stands for no piece, self.size + 1 for an unknown letter."""
+        """Words of one length at a time: their places in the list, and the piece that ends at a letter and has each
+        number of letters (word, letter, letters of the piece - 1); self.size stands for no piece, self.size + 1 for an
+        unknown letter."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes):
-            own = np.flatnonzero(sizes == n)
-            rolled = Rolled(self._symbols("".join(words[k] for k in own.tolist())))
-            base = np.arange(len(own)) * n
-            out = np.full((len(own), n, min(LONGEST, n)), self.size, np.int32)
-            for k, (known, ids) in self.by_length.items():
-                if k > n:
-                    break
-                at = (base[:, None] + np.arange(n - k + 1)[None, :]).ravel()
-                h = rolled.windows(at, k)
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                out[:, : n - k + 1, k - 1] = np.where(known[i] == h, ids[i], self.size).reshape(len(own), -1)
-            first = out[:, :, 0]
-            first[first == self.size] = self.size + 1
-            yield own, out
-
-    def forward(self, lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probability of each prefix under each language (word, letters, language), summed over all segmentations."""
+            every = np.flatnonzero(sizes == n)
+            most = max(1, ENTRIES // int(n * min(self.longest, n)))
+            for first in range(0, len(every), most):
+                own = every[first : first + most]
+                rolled = Rolled(self._symbols("".join(words[k] for k in own.tolist())))
+                base = np.arange(len(own)) * n
+                out = np.full((len(own), n, min(self.longest, n)), self.size, np.int32)
+                for k, (known, ids) in self.by_length.items():
+                    if k > n:
+                        break
+                    at = (base[:, None] + np.arange(n - k + 1)[None, :]).ravel()
+                    h = rolled.windows(at, k)
+                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    out[:, k - 1 :, k - 1] = np.where(known[i] == h, ids[i], self.size).reshape(len(own), -1)
+                one = out[:, :, 0]
+                one[one == self.size] = self.size + 1
+                yield own, out
+
+    def forward(self, lattice: np.ndarray, p: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each prefix under each language (word, letters, language), summed over all segmentations. With
+        logs (word, language) the running sums are brought back to about one every few letters, and what they were
+        divided by is added to logs: the last column then holds the word's probability up to that factor."""
         m, n, longest = lattice.shape
         a = np.zeros((m, n + 1, p.shape[1]))
         a[:, 0] = 1
         for end in range(1, n + 1):
-            for k in range(1, min(longest, end) + 1):
-                a[:, end] += a[:, end - k] * p[lattice[:, end - k, k - 1]]
+            k = min(longest, end)
+            a[:, end] = (a[:, end - k : end][:, ::-1] * p[lattice[:, end - 1, :k]]).sum(axis=1)
+            if logs is not None and end % STRIDE == 0:
+                recent = a[:, max(0, end - longest) : end + 1]
+                size = recent.max(axis=1)
+                recent /= size[:, None]
+                logs += np.log(size)
         return a
 
     def backward(self, lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -99,36 +110,40 @@ class Vocabulary:
         b[:, n] = 1
         for at in range(n - 1, -1, -1):
             for k in range(1, min(longest, n - at) + 1):
-                b[:, at] += p[lattice[:, at, k - 1]] * b[:, at + k]
+                b[:, at] += p[lattice[:, at + k - 1, k - 1]] * b[:, at + k]
         return b
 
 
 def log_likelihoods(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     for own, lattice in v.lattices(words):
-        for k in range(0, len(own), 20_000):
-            out[own[k : k + 20_000]] = np.log(np.maximum(v.forward(lattice[k : k + 20_000], p)[:, -1], 1e-300))
+        logs = np.zeros((len(own), p.shape[1]))
+        out[own] = np.log(np.maximum(v.forward(lattice, p, logs)[:, -1], 1e-300)) + logs
     return out
 
 
 def train(v: Vocabulary, counts: list[Counter], rounds: int = 4) -> np.ndarray:
-    """Piece probabilities (piece, language), with a row of zeros for no piece and one of FLOOR for unknown letters."""
+    """Piece probabilities (piece, language), with a row of zeros for no piece and one of FLOOR for unknown letters. A
+    word whose probability is below the smallest number even so (some forty unknown letters) has no part in it."""
     words = sorted(set().union(*counts))
     times = np.array([[c[w] for c in counts] for w in words], np.float64)
     p = np.full((v.size + 2, len(counts)), 1 / max(1, v.size))
     p[v.size], p[v.size + 1] = 0, FLOOR
-    lattices = list(v.lattices(words))
+    gain = (GAIN**v.letters)[:, None]
     for _ in range(rounds):
-        expected = np.full((v.size + 2, len(counts)), 0.05)
-        for own, lattice in lattices:
-            a, b = v.forward(lattice, p), v.backward(lattice, p)
-            share = times[own] / np.maximum(a[:, -1], 1e-300)
-            n = lattice.shape[1]
+        expected, scaled = np.full((v.size + 2, len(counts)), 0.05), p * gain
+        for own, lattice in v.lattices(words):
+            a, b = v.forward(lattice, scaled), v.backward(lattice, scaled)
+            share = np.divide(times[own], a[:, -1], out=np.zeros_like(a[:, -1]), where=a[:, -1] > 1e-290)
             for k in range(1, lattice.shape[2] + 1):
-                ids = lattice[:, : n - k + 1, k - 1]
-                got = a[:, : n - k + 1] * p[ids] * b[:, k:] * share[:, None, :]
+                ids = lattice[:, k - 1 :, k - 1]
+                some = ids != v.size
+                if not some.any():
+                    continue
+                word, at = np.nonzero(some)
+                got = a[word, at] * scaled[ids[some]] * b[word, at + k] * share[word]
                 for lang in range(len(counts)):
-                    expected[:, lang] += np.bincount(ids.ravel(), got[:, :, lang].ravel(), v.size + 2)
+                    expected[:, lang] += np.bincount(ids[some], got[:, lang], v.size + 2)
         p = expected / expected[: v.size].sum(axis=0)
         p[v.size], p[v.size + 1] = 0, FLOOR
     return p
@@ -152,12 +167,11 @@ def fit(docs: DataFrame, pieces_file: str, sample: int = 300) -> tuple[list[str]
         part = (F.col("lang") == lang) & (place < most)
         picked = part if picked is None else picked | part
     counts = [Counter() for _ in langs]
-    taken = Counter()
     at = {x: k for k, x in enumerate(langs)}
-    for r in known.where(picked).select("lang", "text", place.alias("place"), "doc_id").orderBy("place", "doc_id").toLocalIterator():
-        if taken[r["lang"]] < sample:
-            taken[r["lang"]] += 1
-            counts[at[r["lang"]]].update(c for w in words_of_text(r["text"]) for c in chunks(w))
+    near = known.where(picked).select("lang", "text", "doc_id", place.alias("place"))
+    first = near.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("number") <= sample)
+    for r in first.select("lang", "text").toLocalIterator():  # at most `sample` a language
+        counts[at[r["lang"]]].update(MARK + w for w in words_of_text(r["text"]))
     return langs, v, train(v, counts)
 
 
@@ -178,11 +192,9 @@ class Scorer:
         missing.difference_update(self.known)
         if missing:
             new = sorted(missing)
-            parts = [chunks(w) for w in new]
-            got = log_likelihoods(self.v, self.p, [c for x in parts for c in x])
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            got = log_likelihoods(self.v, self.p, [MARK + w for w in new])
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, np.add.reduceat(got, np.cumsum(sizes) - sizes, axis=0)])
+            self.table = np.concatenate([self.table, got])
         get = self.known.__getitem__
         out = np.zeros((len(texts), self.p.shape[1]))
         for k, words in enumerate(texts):

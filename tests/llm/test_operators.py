@@ -271,17 +271,34 @@ def test_op8(spark, none):
 
 
 def test_op8_forward_sums_all_segmentations():
-    v = langid.Vocabulary(["a", "b", "ab", "ba", "aba", langid.MARK])
-    p = rng.random((v.size + 2, 2))
-    p[v.size] = 0
-    names = sorted({"a", "b", "ab", "ba", "aba", langid.MARK})
-
-    def brute(w, lang):
-        return 1.0 if not w else sum(p[k, lang] * brute(w[len(x) :], lang) for k, x in enumerate(names) if w.startswith(x))
-
-    words = [langid.MARK + w for w in ("abab", "b", "aabba")]
-    got = np.exp(langid.log_likelihoods(v, p, words))
-    assert np.allclose(got, [[brute(w, lang) for lang in range(2)] for w in words])
+    names = sorted({"a", "b", "ab", "ba", "aba", "abbaabbaabba", langid.MARK})
+    v = langid.Vocabulary(names)
+    p = rng.random((v.size + 2, 2)) / 10
+    p[v.size], p[v.size + 1] = 0, langid.FLOOR
+
+    def brute(w, lang):  # by words' ends, so that long words end too; exact fractions can't underflow
+        from fractions import Fraction
+
+        sums = [Fraction(1)]
+        for end in range(1, len(w) + 1):
+            got = sum(sums[end - len(x)] * Fraction(float(p[k, lang])) for k, x in enumerate(names) if w[:end].endswith(x))
+            sums.append(got if got or w[end - 1] in names else sums[end - 1] * Fraction(langid.FLOOR))
+        return sums[-1]
+
+    def log(x):
+        return np.log(float(x.numerator >> (s := max(0, x.numerator.bit_length() - 900)))) + s * np.log(2) - np.log(float(x.denominator >> (t := max(0, x.denominator.bit_length() - 900)))) - t * np.log(2)
+
+    words = [langid.MARK + w for w in ("abab", "b", "aabba", "abbaabbaabba" * 5, "ab" * 300, "aabxxxa", "x" * 60)]
+    got = langid.log_likelihoods(v, p, words)
+    assert np.allclose(got, [[log(brute(w, lang)) for lang in range(2)] for w in words])
+
+
+def test_op8_training_shares_words_among_segmentations():
+    names = sorted({"a", "b", "ab", langid.MARK})
+    v = langid.Vocabulary(names)
+    p = langid.train(v, [Counter({langid.MARK + "ab": 4, langid.MARK + "a": 1})], rounds=1)
+    whole = {"a": 0.05 + 4 / (1 + v.size) + 1, "b": 0.05 + 4 / (1 + v.size), "ab": 0.05 + 4 * v.size / (1 + v.size), langid.MARK: 5.05}
+    assert np.allclose(p[: v.size, 0], np.array([whole[x] for x in names]) / sum(whole.values()))
 
 
 def test_sql_twins(spark, docs):
