@@ -113,7 +113,7 @@ class Rolled:
 # A row of Spark costs tens of bytes besides its values, so millions of (hash, document, position) entries travel as
 # a few rows of byte planes: each column is delta-coded and transposed, and planes of zeros vanish in shuffle compression.
 
-PACKED = "bucket int, n int, " + ", ".join(f"c{k} binary" for k in range(4))
+PACKED = "bucket int, n int, " + ", ".join(f"c{k} binary" for k in range(5))
 
 
 def _planes(x: np.ndarray, delta: bool, width: int) -> bytes:
@@ -134,64 +134,98 @@ def _unplanes(data: bytes, n: int, delta: bool, width: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def pack(h: np.ndarray, columns: list[np.ndarray], buckets: int, keep: int = 8, widths: tuple[int, ...] = (8, 4)) -> Iterator[pa.RecordBatch]:
-    """Entries as one row per bucket. h picks the bucket with its high half and travels with its low `keep` bytes."""
+def pack(h: np.ndarray, columns: list[np.ndarray], buckets: int, keep: int = 8, widths: tuple[int, ...] = (8, 4), known: bool = False) -> Iterator[pa.RecordBatch]:
+    """Entries as one row per bucket. h picks the bucket with its high half and travels with its low `keep` bytes.
+    Entries that are `known` have their answer already and only pass through: their n is negative, and no hash is kept."""
     if not len(h):
         return
     b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.uint32)
     order = np.argsort(b, kind="stable")
-    counts = np.bincount(b, minlength=buckets)
+    own, counts = np.unique(b, return_counts=True)
     ends = np.cumsum(counts)
     h, columns = h[order], [c[order] for c in columns]
-    rows: dict[str, list] = {"bucket": [], "n": [], **{f"c{k}": [] for k in range(4)}}
-    for k in np.flatnonzero(counts):
-        s = slice(int(ends[k] - counts[k]), int(ends[k]))
-        rows["bucket"].append(int(k))
-        rows["n"].append(int(counts[k]))
-        rows["c0"].append(_planes(h[s].view(np.int64), False, keep))
-        for i in range(3):
+    rows: dict[str, list] = {"bucket": own.tolist(), "n": (-counts if known else counts).tolist(), **{f"c{k}": [] for k in range(5)}}
+    for end, n in zip(ends.tolist(), counts.tolist()):
+        s = slice(end - n, end)
+        rows["c0"].append(b"" if known else _planes(h[s].view(np.int64), False, keep))
+        for i in range(4):
             rows[f"c{i + 1}"].append(_planes(columns[i][s], True, widths[i]) if i < len(columns) else b"")
-    yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["n"], pa.int32()), *(pa.array(rows[f"c{k}"], pa.binary()) for k in range(4))], names=["bucket", "n", "c0", "c1", "c2", "c3"])
+    yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["n"], pa.int32()), *(pa.array(rows[f"c{k}"], pa.binary()) for k in range(5))], names=["bucket", "n", "c0", "c1", "c2", "c3", "c4"])
 
 
-def unpack(batches: Iterator[pa.RecordBatch], keep: int = 8, widths: tuple[int, ...] = (8, 4)) -> Iterator[tuple[np.ndarray, ...]]:
-    """The entries of each bucket among the rows of one task: hash, then the columns. A task has one bucket, as a rule."""
-    held: dict[int, list[tuple]] = {}
+def unpack(batches: Iterator[pa.RecordBatch], keep: int = 8, widths: tuple[int, ...] = (8, 4)) -> Iterator[tuple[np.ndarray | None, ...]]:
+    """The entries of one bucket after another: hash, then the columns; and as they come, known ones without a hash.
+    A bucket's rows are neighbours (exchange), so a task holds one bucket at a time."""
+    held: list[tuple] = []
+    bucket = None
+
+    def whole():
+        trim()
+        rows, held[:] = held[:], []
+        return (np.concatenate([_unplanes(r[1], r[0], False, keep) for r in rows]).view(np.uint64), *(np.concatenate([_unplanes(r[i + 2], r[0], True, w) for r in rows]) for i, w in enumerate(widths)))
+
     for batch in batches:
         for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append((row["n"], row["c0"], row["c1"], row["c2"], row["c3"]))
-    for k in sorted(held):
-        trim()
-        rows = held.pop(k)
-        yield (np.concatenate([_unplanes(r[1], r[0], False, keep) for r in rows]).view(np.uint64), *(np.concatenate([_unplanes(r[i + 2], r[0], True, w) for r in rows]) for i, w in enumerate(widths)))
+            if row["n"] < 0:
+                yield (None, *(_unplanes(row[f"c{i + 1}"], -row["n"], True, w) for i, w in enumerate(widths)))
+                continue
+            if row["bucket"] != bucket and held:
+                yield whole()
+            bucket = row["bucket"]
+            held.append((row["n"], row["c0"], row["c1"], row["c2"], row["c3"], row["c4"]))
+    if held:
+        yield whole()
+
 
+#: Partitions of an exchange at most; more buckets than that share partitions, in order.
+PARTITIONS = 20_000
 
-def exchange(packed: DataFrame, buckets: int) -> DataFrame:
-    return packed.repartitionById(buckets, F.col("bucket"))
 
+def exchange(packed: DataFrame, buckets: int, most: int = PARTITIONS) -> DataFrame:
+    """Each bucket's rows in one partition, next to each other. There are as many buckets as the data asks for; where
+    they are more than the partitions, Spark's own sort, which spills, brings a partition's rows in order of bucket."""
+    if buckets <= most:
+        return packed.repartitionById(buckets, F.col("bucket"))
+    return packed.repartitionById(most, F.col("bucket") % most).sortWithinPartitions("bucket")
 
-def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts h, starts of the runs of equal values in it, and each entry's run (in sorted order)."""
+
+def groups(h: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts h, starts of the runs of equal values in it, and each entry's run (in sorted order). With second,
+    a run's entries have that in common too."""
     order = np.argsort(h)
     s = h[order]
     new = np.empty(len(s), bool)
     if len(s):
         new[0] = True
         np.not_equal(s[1:], s[:-1], out=new[1:])
+        if second is not None and (~new[1:] & (second[order][1:] != second[order][:-1])).any():  # two that share h alone
+            order = np.lexsort((second, h))
+            new[1:] = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def packed(entries: Iterator[tuple[np.ndarray, list[np.ndarray]]], buckets: int, keep: int, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """pack() over a task's entries, some million at a time."""
+def packed(entries: Iterator[tuple[np.ndarray, list[np.ndarray]]], buckets: int, keep: int, widths: tuple[int, ...], settle: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """pack() over a task's entries, some million at a time (more, the more buckets there are).
+
+    settle(h, columns) -> (sent, known), two masks over the entries: those that must meet their equals in the bucket, and
+    those whose answer the task knows from the entries before it. So a hash that holds a third of all rows costs its
+    bucket a few entries a million, and the known ones are dealt evenly, by document.
+    """
     held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    most = min(8 * ENTRIES, max(ENTRIES, 50 * buckets))
 
     def flush():
-        yield from pack(np.concatenate([h for h, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held))], buckets, keep, widths)
+        h, columns = np.concatenate([h for h, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held))]
         held.clear()
+        if settle is not None:
+            sent, known = settle(h, columns)
+            yield from pack(mix(columns[0][known].view(np.uint64)), [c[known] for c in columns], buckets, 0, widths, True)
+            h, columns = h[sent], [c[sent] for c in columns]
+        yield from pack(h, columns, buckets, keep, widths)
 
     for h, columns in entries:
         held.append((h, columns))
-        if sum(len(x) for x, _ in held) >= ENTRIES:
+        if sum(len(x) for x, _ in held) >= most:
             yield from flush()
     if held:
         yield from flush()

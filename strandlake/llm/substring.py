@@ -3,10 +3,14 @@
 Every document's non-overlapping blocks of `block` words are indexed; every rolling window of `block` words probes the
 index. A window of `window` >= 2 * block - 1 words holds a whole block of any document it also starts in, so a repeat is
 always probed. Blocks and probes meet by hash in packed rows (a block is also a probe, so one entry serves both);
-probes that meet a block of a document with a smaller doc_id, and blocks so met, become anchors. Anchors are extended:
-each window of `window` words that holds an anchor meets its equals by a 64-bit hash, and one whose word sequence also
-starts in a document with a smaller doc_id belongs to a repeat; overlapping ones join into maximal repeats. Hot blocks
-and copies are runs of a sorted array, of which only the least doc_id counts, so no pairs are made.
+probes that meet a block of a document with a smaller doc_id, and blocks so met, become anchors. Anchors are extended to
+both sides, a window at a time: each window of `window` words that holds an anchor meets its equals by a 128-bit hash of
+its words (two independent ones of 64 bits), and one whose word sequence also starts in a document with a smaller doc_id
+belongs to a repeat; overlapping ones join into maximal repeats.
+
+Hot blocks, windows and copies: a task settles what the million entries before it tell already (a window that also
+stands in a smaller document there is a repeat; of a block that stands there in many documents all but the least are
+anchors, which extension judges exactly) and sends a few entries of each such hash on. No pairs are made.
 
 Defined results: words are runs of bytes that are no ASCII white space, unchanged. A null or empty text has no words. A
 null doc_id is neither smaller nor larger than any: nothing is removed there and nothing because of it. Rows that share
@@ -27,6 +31,10 @@ from .common import PACKED, Rolled, answer_buckets, answers, assembled, cut, exc
 WINDOW, BLOCK = 13, 7
 
 
+#: Documents of a task's million entries in which a block stands before the task settles it.
+OFTEN = 16
+
+
 def _symbols(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit symbol for each word of the documents one after another, and the documents' sizes."""
     from xxhash import xxh3_64_intdigest
@@ -40,9 +48,9 @@ def _symbols(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return mix(flat), sizes
 
 
-def _entries(part: pa.RecordBatch, words: list[list[bytes]], starts: np.ndarray | None, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _entries(part: pa.RecordBatch, words: list[list[bytes]], starts: np.ndarray | None, width: int, second: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of the windows (all of them, or those that start at the given places of the documents one after another)
-    with doc_id, a tag of the row, and the place in the document."""
+    with doc_id, the row's uid, and the place in the document; `second` hashes of the same windows go with the places."""
     flat, sizes = _symbols(words)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -51,38 +59,57 @@ def _entries(part: pa.RecordBatch, words: list[list[bytes]], starts: np.ndarray
     at = at[at + width <= ends[mine]]
     mine = doc[at]
     ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-    tags = part.column("uid").to_numpy() & 0xFFFF
-    return Rolled(flat).windows(at, width), [ids[mine].astype(np.int64), tags[mine], at - (ends - sizes)[mine]]
+    columns = [ids[mine].astype(np.int64), part.column("uid").to_numpy()[mine], at - (ends - sizes)[mine]]
+    return Rolled(flat).windows(at, width), [*columns, Rolled(mix(flat ^ SECOND)).windows(at, width).view(np.int64)] if second else columns
 
 
-_WIDTHS = (8, 2, 4)
-_KEYS = ["doc_id", "tag"]
+#: What is turned in a word's symbol for its second hash.
+SECOND = np.uint64(0x5851F42D4C957F2D)
+_WIDTHS, _WIDE = (8, 8, 4), (8, 8, 4, 8)
+_KEYS = ["doc_id", "uid"]
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """keyed docs -> (doc_id, tag, spans): the words in windows whose sequence also starts in a document with a smaller id."""
+    """keyed docs -> (doc_id, uid, spans): the words in windows whose sequence also starts in a document with a smaller id."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     spark = docs.sparkSession
     known = docs.where("doc_id is not null")
     buckets = partitions_for(docs, 10)
     back = answer_buckets(buckets)
+    large, small = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+    def settle_blocks(h: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks that stand in OFTEN documents or more: all but the least are anchors. The least, the greatest and the
+        least indexed one go on."""
+        order, starts, run = groups(h)
+        d, indexed = columns[0][order], columns[2][order] % block == 0
+        often = (np.diff(np.append(starts, len(h))) >= OFTEN)[run]
+        least, most = np.minimum.reduceat(d, starts)[run], np.maximum.reduceat(d, starts)[run]
+        first = np.minimum.reduceat(np.where(indexed, d, large), starts)[run]
+        on, settled = np.empty(len(h), bool), np.empty(len(h), bool)
+        settled[order] = often & (d > least)
+        on[order] = ~often | (d == least) | (d == most) | (indexed & (d == first))
+        return on, settled
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = (_entries(part, [t.split() for t in part.column("text").to_pylist()], None, block) for batch in batches for part in pieces(batch))
         turn("substring", lambda: None)
-        yield from packed(entries, buckets, 5, _WIDTHS)
+        yield from packed(entries, buckets, 5, _WIDTHS, settle_blocks)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def anchors():
-            for h, doc, tag, pos in unpack(batches, 5, _WIDTHS):
+            for h, doc, uid, pos in unpack(batches, 5, _WIDTHS):
+                if h is None:
+                    yield [doc, uid, pos]
+                    continue
                 order, starts, run = groups(h)
                 d, indexed = doc[order], pos[order] % block == 0
-                least = np.minimum.reduceat(np.where(indexed, d, np.iinfo(np.int64).max), starts)
+                least = np.minimum.reduceat(np.where(indexed, d, large), starts)
                 most = np.maximum.reduceat(d, starts)
                 found = np.empty(len(h), bool)
                 found[order] = (d > least[run]) | (indexed & (d < most[run]))
-                yield [doc[found], tag[found], pos[found]]
+                yield [doc[found], uid[found], pos[found]]
 
         yield from answers(anchors(), back, _WIDTHS)
 
@@ -90,7 +117,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
         return lambda batches: assembled(batches, _KEYS, _WIDTHS, before, after)
 
     def dealt(df: DataFrame, f, before: int, after: int, name: str) -> DataFrame:
-        out = cut(exchange(exchange(df, buckets).mapInArrow(f, PACKED), back).mapInArrow(gather(before, after), "doc_id long, tag long, spans binary"), name)
+        out = cut(exchange(exchange(df, buckets).mapInArrow(f, PACKED), back).mapInArrow(gather(before, after), "doc_id long, uid long, spans binary"), name)
         release(spark)
         return out
 
@@ -103,23 +130,33 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 for part in pieces(batch):
                     words = [t.split() for t in part.column("text").to_pylist()]
                     masks = [within(s, len(w)) for s, w in zip(part.column("spans").to_pylist(), words)]
-                    yield _entries(part, words, np.flatnonzero(np.concatenate(masks)), window)
+                    yield _entries(part, words, np.flatnonzero(np.concatenate(masks)), window, True)
 
-        yield from packed(entries(), buckets, 8, _WIDTHS)
+        yield from packed(entries(), buckets, 8, _WIDE, settle_windows)
+
+    def settle_windows(h: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that stand in a smaller document here, too, are repeats; the least of each go on."""
+        order, starts, run = groups(h, columns[3])
+        d = columns[0][order]
+        settled = np.empty(len(h), bool)
+        settled[order] = d > np.minimum.reduceat(d, starts)[run]
+        return ~settled, settled
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def again():
-            for h, doc, tag, pos in unpack(batches, 8, _WIDTHS):
-                order, starts, run = groups(h)
+            for h, doc, uid, pos, second in unpack(batches, 8, _WIDE):
+                if h is None:
+                    yield [doc, uid, pos]
+                    continue
+                order, starts, run = groups(h, second)
                 d = doc[order]
                 found = np.empty(len(h), bool)
                 found[order] = d > np.minimum.reduceat(d, starts)[run]
-                yield [doc[found], tag[found], pos[found]]
+                yield [doc[found], uid[found], pos[found]]
 
         yield from answers(again(), back, _WIDTHS)
 
-    tagged = known.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
-    anchored = tagged.join(held, _KEYS).select("doc_id", "uid", "text", "spans")
+    anchored = known.join(held, _KEYS).select("doc_id", "uid", "text", "spans")
     return dealt(anchored.mapInArrow(extend, PACKED), judge, 0, window, "repeats")
 
 
@@ -128,13 +165,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, carry
     kept_text (the words that stay, joined by one space, in UTF-8), a row per row of docs; with carry, also those columns
     of docs in a struct `carried`."""
     rows = keyed(docs)
-    found = removed_spans(rows, window, block).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spans")
+    found = removed_spans(rows, window, block).select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "spans")
     if carry:
         rows = docs.select(F.struct(*carry).alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
         rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("tag", F.col("uid").bitwiseAND(F.lit(0xFFFF)))
     more = ["carried"] if carry else []
-    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["tag"] == found["t"]), "left").select("doc_id", "uid", "text", "spans", *more)
+    rows = rows.join(found, (rows["doc_id"] == found["d"]) & (rows["uid"] == found["u"]), "left").select("doc_id", "uid", "text", "spans", *more)
     schema = rows.select("doc_id", "uid").schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("spans", "binary"), ("kept_text", "binary")):
         schema = schema.add(name, kind)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import PACKED, Rolled, answer_buckets, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
 WIDTH, BLOCKS, PRIME = 400, 6, 17
-_WIDTHS = (8, 4)
+#: Bytes of uid, place, and the part of the second hash that travels: with the first one's 64 bits it makes 96.
+_WIDTHS, _WIDE = (8, 4), (8, 4, 4)
 SPANS = "uid long, spans binary"
 #: Bytes of text that a worker hashes at a time.
 PIECE = 2_000_000
@@ -61,6 +62,9 @@ def difference_cover(q: int = PRIME) -> tuple[int, tuple[int, ...]]:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+_OTHERS = mix(_BYTES ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def _hashes(texts: list[bytes], uids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of the windows at the given places of the texts one after another, with uid and place in the text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -70,6 +74,18 @@ def _hashes(texts: list[bytes], uids: np.ndarray, starts: np.ndarray, width: int
     return Rolled(_BYTES[flat]).windows(starts, width), [uids[mine], starts - (ends - sizes)[mine]]
 
 
+def _block(texts: list[bytes], uids: np.ndarray, starts: np.ndarray, width: int, block: int, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """_hashes() of those windows whose first hash is in the block's range; only they are hashed a second time."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    h = Rolled(_BYTES[flat]).windows(starts, width)
+    mine = (h >> np.uint64(16)) % np.uint64(blocks) == block
+    h, starts = h[mine], starts[mine]
+    doc = np.searchsorted(ends, starts, "right")
+    return h, [uids[doc], starts - (ends - sizes)[doc], (Rolled(_OTHERS[flat]).windows(starts, width) >> np.uint64(32)).view(np.int64)]
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, prime: int = PRIME) -> DataFrame:
     """keyed docs -> (uid, spans): the bytes in strings of `width` bytes that also start elsewhere; a row for each block
     of suffixes and document."""
@@ -98,13 +114,24 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
                     if starts:
                         yield _hashes(texts, part.column("uid").to_numpy(), np.concatenate(starts), name)
 
-        yield from packed(entries(), buckets, 5, _WIDTHS)
+        yield from packed(entries(), buckets, 5, _WIDTHS, settle)
 
-    def again(keep: int):
+    def settle(h: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that a task has twice or more are settled there; the first of each goes on for the others' sake."""
+        order, starts, run = groups(h, columns[2] if len(columns) > 2 else None)
+        settled, on = np.empty(len(h), bool), np.zeros(len(h), bool)
+        settled[order] = (np.diff(np.append(starts, len(h))) > 1)[run]
+        on[order[starts]] = True
+        return on, settled
+
+    def again(keep: int, widths: tuple[int, ...]):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def tied():
-                for h, uid, pos in unpack(batches, keep, _WIDTHS):
-                    order, starts, run = groups(h)
+                for h, uid, pos, *second in unpack(batches, keep, widths):
+                    if h is None:
+                        yield [uid, pos]
+                        continue
+                    order, starts, run = groups(h, *second)
                     many = np.empty(len(h), bool)
                     many[order] = (np.diff(np.append(starts, len(h))) > 1)[run]
                     yield [uid[many], pos[many]]
@@ -113,13 +140,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
 
         return f
 
-    def dealt(df: DataFrame, keep: int, before: int, after: int, label: str) -> DataFrame:
-        out = cut(exchange(exchange(df, buckets).mapInArrow(again(keep), PACKED), back).mapInArrow(lambda x: assembled(x, ["uid"], _WIDTHS, before, after), SPANS), label)
+    def dealt(df: DataFrame, keep: int, widths: tuple[int, ...], before: int, after: int, label: str) -> DataFrame:
+        out = cut(exchange(exchange(df, buckets).mapInArrow(again(keep, widths), PACKED), back).mapInArrow(lambda x: assembled(x, ["uid"], _WIDTHS, before, after), SPANS), label)
         release(spark)
         return out
 
     # Suffixes that hold a named sample suffix within their first `width` bytes start up to v - 1 bytes before it.
-    named = dealt(docs.mapInArrow(sample, PACKED), 5, v - 1, 1, "named")
+    named = dealt(docs.mapInArrow(sample, PACKED), 5, _WIDTHS, v - 1, 1, "named")
     held = cut(docs.join(named, "uid").select("uid", "text", "spans"), "suspects")
     release(spark)
 
@@ -134,15 +161,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, pr
                             m = within(n, len(t))
                             m[max(0, len(t) - width + 1) :] = False
                             masks.append(m)
-                        h, columns = _hashes(texts, part.column("uid").to_numpy(), np.flatnonzero(np.concatenate(masks)), width)
-                        mine = (h >> np.uint64(16)) % np.uint64(blocks) == block
-                        yield h[mine], [c[mine] for c in columns]
+                        starts = np.flatnonzero(np.concatenate(masks))
+                        yield _block(texts, part.column("uid").to_numpy(), starts, width, block, blocks)
 
-            yield from packed(entries(), buckets, 8, _WIDTHS)
+            yield from packed(entries(), buckets, 8, _WIDE, settle)
 
         return f
 
-    return reduce(DataFrame.unionByName, [dealt(held.mapInArrow(suffixes(block), PACKED), 8, 0, width, "block") for block in range(blocks)])
+    return reduce(DataFrame.unionByName, [dealt(held.mapInArrow(suffixes(block), PACKED), 8, _WIDE, 0, width, "block") for block in range(blocks)])
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:

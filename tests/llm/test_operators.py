@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontam, html, langid, licenses, packing, quality, records, simhash, substring, suffix, tokens
-from strandlake.llm.common import Rolled
+from strandlake.llm.common import Rolled, exchange, groups, mix, packed, unpack, within
 from strandlake.session import scratch
 
 rng = np.random.default_rng(3)
@@ -67,6 +67,75 @@ def test_op1(docs, none):
         substring.removed_spans(docs, 12, 7)
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One passage in every document, at places of all remainders, and a text in a third of the rows."""
+    same = say(90)
+    rows = [(k, same if k % 3 == 0 else f"{say(int(k) % 11)} {PASSAGE} {say(5)} {k} {PASSAGE}") for k in range(400)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3).persist()
+
+
+def test_op1_hot_passages_and_copies(hot):
+    rows, docs = hot
+    least, split = {}, [(d, t.encode().split()) for d, t in rows]
+    for d, w in split:
+        for i in range(len(w) - 12):
+            least.setdefault(tuple(w[i : i + 13]), d)
+    want = Counter()
+    for d, w in split:
+        gone = {j for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want[d, len(gone)] += 1
+    assert of(substring.deduplicate(docs).collect(), "doc_id", "n_removed") == want
+
+
+def test_op6_hot_passages_and_copies(hot):
+    rows, docs = hot
+    often = Counter(b[i : i + 200] for _, t in rows for b in [t.encode()] for i in range(len(b) - 199))
+    want = Counter()
+    for d, t in rows:
+        b = t.encode()
+        want[d, len({j for i in range(len(b) - 199) if often[b[i : i + 200]] > 1 for j in range(i, i + 200)})] += 1
+    got = suffix.repeated_spans(suffix.keyed(docs), 200, 2, 5)
+    runs = Counter()
+    for r in got.groupBy("uid").agg(F.collect_list("spans").alias("s")).join(suffix.keyed(docs), "uid").select("doc_id", "s", F.length("text").alias("n")).collect():
+        runs[r["doc_id"], int(within([bytes(x) for x in r["s"]], r["n"]).sum())] += 1
+    assert runs == Counter({k: v for k, v in want.items() if k[1]})
+
+
+def test_hot_hashes_cost_their_bucket_few_entries():
+    n = 60_000
+    h = np.where(np.arange(n) % 3 == 0, np.uint64(77), mix(np.arange(n, dtype=np.uint64)))
+    columns = [np.arange(n), np.arange(n) * 7, np.arange(n) % 50]
+
+    def first(h, columns):
+        order, starts, run = groups(h)
+        known = np.empty(n, bool)
+        known[order] = columns[0][order] > np.minimum.reduceat(columns[0][order], starts)[run]
+        return ~known, known
+
+    sent = [b for b in packed(iter([(h, columns)]), 40, 8, (8, 8, 4), first)]
+    assert sum(x for b in sent for x in b.column("n").to_pylist() if x > 0) == len(np.unique(h))
+    most = max(sum(-x for b in sent for k, x in zip(b.column("bucket").to_pylist(), b.column("n").to_pylist()) if x < 0 and k == bucket) for bucket in range(40))
+    assert most < 2 * n / 3 / 40  # what is known already is dealt evenly
+    back = list(unpack(iter(sorted(sent, key=lambda b: b.column("bucket")[0].as_py())), 8, (8, 8, 4)))
+    assert sorted(np.concatenate([x[1] for x in back]).tolist()) == list(range(n))
+
+
+def test_more_buckets_than_partitions(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 100).cast("int").alias("bucket"), F.col("id"))
+    got = exchange(rows, 100, 8).withColumn("p", F.spark_partition_id()).collect()
+    assert all(r["p"] == r["bucket"] % 8 for r in got)
+    for p in range(8):
+        own = [r["bucket"] for r in got if r["p"] == p]
+        assert own == sorted(own)
+
+
+def test_groups_of_two_hashes():
+    h, second = np.array([5, 5, 5, 2, 5], np.uint64), np.array([1, 2, 1, 9, 2])
+    order, starts, run = groups(h, second)
+    assert [sorted(order[run == k].tolist()) for k in range(len(starts))] == [[3], [0, 2], [1, 4]]
+
+
 def test_op2():
     w, pair = html.trained()
     right = total = 0
