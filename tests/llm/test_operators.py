@@ -246,12 +246,80 @@ def test_op5(docs, none):
     assert quality.judge(none).count() == 0
 
 
-def test_op5_model_is_a_distribution():
-    keys, sizes = quality.grams([say(400).encode() for _ in range(20)])
-    assert sizes.sum() == len(keys)
-    k, n = np.unique(keys, return_counts=True)
-    p = np.exp(quality.Model(k, n).logs().astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
+def kneser_ney(words, order=quality.ORDER):
+    """Modified Kneser-Ney over words by dictionaries: p(symbol, context) and the symbols."""
+    counts = [Counter() for _ in range(order + 1)]
+    for w in words:
+        w = f" {w} "
+        for i in range(1, len(w)):
+            g = w[max(0, i - order + 1) : i + 1]
+            counts[len(g)][g] += 1
+    for k in range(order - 1, 0, -1):
+        for g in {g[1:] for g in counts[k + 1]} if k else ():
+            if not g.startswith(" ") or len(g) == 1:
+                counts[k][g] = sum(x[1:] == g for x in counts[k + 1])
+    symbols = sorted(counts[1])
+    off = []
+    for k in range(1, order + 1):
+        n = [0, *(sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4))]
+        if not n[1] or not n[2]:
+            off.append([0, 0.5, 0.5, 0.5])
+            continue
+        y = n[1] / (n[1] + 2 * n[2])
+        off.append([0, *(min(j, max(0.1, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else j / 2 for j in (1, 2, 3))])
+
+    def p(symbol, context):
+        k = len(context) + 1
+        below = p(symbol, context[1:]) if context else 1 / (len(symbols) + 1)
+        own = {g[-1]: c for g, c in counts[k].items() if g[:-1] == context}
+        if not own:
+            return below
+        d = [off[k - 1][min(c, 3)] for c in own.values()]
+        mine = own.get(symbol, 0)
+        return (mine - off[k - 1][min(mine, 3)] + sum(d) * below) / sum(own.values())
+
+    return p, symbols
+
+
+def test_op5_model_against_dictionaries(spark):
+    texts = {"en": [say(60), say(9), "ab ab abc zzz"], None: ["über über ab", "x"], "one": ["q"]}
+    rows = [(k, t.encode(), lang) for k, (lang, ts) in enumerate(texts.items()) for t in ts] + [(9, b"", "en"), (10, b" \n", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text binary, lang string")
+    table = quality.model(quality.count(df))
+    path = scratch(spark, "model")
+    quality.sharded(table, path)
+    for lang, ts in texts.items():
+        p, symbols = kneser_ney([w for t in ts for w in t.split()])
+        got = {r["gram"]: r["p"] for r in table.where(F.col("lang").eqNullSafe(lang)).collect() if r["p"] is not None}
+        assert all(np.isclose(x, p(g[-1], g[:-1])) for g, x in got.items() if g) and len(got) > len(symbols)
+        assert all(np.isclose(sum(p(x, c) for x in [*symbols, "unknown"]), 1) for c in ("", *{g[:-1] for g in list(got)[:40] if g}))
+        words = quality.Words([t.encode() for t in ts] + [b"abx  never seen \xc3\xbc ab"])  # known words and others, which back off
+        logs, n = quality.word_logs(words, quality.seed_of(lang), path)
+        for w, x, m in zip(words.words, logs, n):
+            s = f" {w} "
+            want = sum(np.log(p(s[i] if s[i] in symbols else "unknown", s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s)))
+            assert np.isclose(x, want, rtol=1e-5) and m == len(w) + 1
+
+
+def test_op5_rejects_low_quality(spark):
+    """The driver's labels: of documents that pass the base rules, the band rejects low quality far more often."""
+    sf = "/root/testdata/sf0.01"
+    got = quality.op5_quality(spark, sf).where("NOT base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    share = {r["quality"]: r["x"] for r in got.groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("x")).collect()}
+    assert share[1] < 0.02 and share[0] > 5 * share[1] and share[0] > 0.1
+
+
+def test_op5_what_it_counts_grows_with_the_corpus(spark):
+    one = spark.createDataFrame([(k, "".join(map(chr, rng.integers(97, 123, 30))).encode(), "en") for k in range(400)], "doc_id long, text binary, lang string").persist()
+    assert quality.count(one).count() > 1.5 * quality.count(one.where("doc_id < 200")).count()
+
+
+def test_op5_ties_and_one_language_without_good_documents(spark):
+    same = say(80)
+    df = spark.createDataFrame([(k, same, "en") for k in range(9)] + [(20, "too short", "xx"), (21, None, "yy")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(got[k]["kept"] for k in range(9)) and len({got[k]["log_ppl"] for k in range(9)}) == 1
+    assert not got[20]["kept"] and not got[21]["kept"] and got[20]["low"] is None
 
 
 def test_op6(docs, none):
