@@ -20,6 +20,7 @@ closed as their parents close; pages that repeat are rows of the result each; ot
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,6 +76,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     nodes = [Node("#page", -1, frozenset(), 0, False)]
     texts: list[tuple[int, int, str]] = []
     stack, block, at, n = [0], 0, 0, len(page)
+    # Where in the stack each tag is open, and where fences are, so that no end tag has to walk through the stack.
+    places: dict[str, list[int]] = {}
+    fences: list[int] = []
+
+    def close_from(k: int) -> None:
+        while len(stack) > k:
+            tag = nodes[stack.pop()].tag
+            places[tag].pop()
+            if tag in FENCE:
+                fences.pop()
+
+    def open_at(tag: str, through: bool) -> int | None:
+        """The nearest open element of that tag; with a fence before it only if the tag may reach through."""
+        if not places.get(tag):
+            return None
+        k = places[tag][-1]
+        return k if through or not fences or fences[-1] <= k else None
 
     def say(text: str) -> None:
         if text and not text.isspace():
@@ -98,22 +116,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if close:
             if tag in BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in FENCE and tag not in FENCE:
-                    break
+            if (k := open_at(tag, tag in FENCE)) is not None:
+                close_from(k)
             continue
         while len(stack) > 1 and tag in CLOSED_BY.get(nodes[stack[-1]].tag, ()):
-            stack.pop()
-        if tag in CLOSED_BY["p"]:  # an open paragraph ends even if inline elements are open in it
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in FENCE:
-                    break
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
+            close_from(len(stack) - 1)
+        if tag in CLOSED_BY["p"] and (k := open_at("p", False)) is not None:  # even if inline elements are open in it
+            close_from(k)
         if tag in BLOCK:
             block += 1
         if tag in VOID:
@@ -139,6 +148,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 texts.append((len(nodes) - 1, block, entities.unescape(page[at:stop])))
             at = end.end() if end else n
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in FENCE:
+            fences.append(len(stack))
         stack.append(len(nodes) - 1)
     return nodes, texts
 
@@ -213,7 +225,7 @@ def marginals(nodes: list[Node], own: np.ndarray, pair: np.ndarray, clamp: np.nd
 def _lse(a: float, b: float) -> float:
     hi, lo = (a, b) if a > b else (b, a)
     d = lo - hi
-    return hi if d < -40 else hi + float(np.log1p(np.exp(d)))
+    return hi if d < -40 else hi + math.log1p(math.exp(d))
 
 
 def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, set[str]]]:
