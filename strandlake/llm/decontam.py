@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, probed by every window of the texts.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, capitals A-Z lowered. An item's windows
-are its runs of `width` words; an item with fewer words, but not none, is one window. The windows are kept in parts of
-at most `most` windows; each part is broadcast and scanned for in a pass of its own, and the passes' hits are united, so
-what is broadcast is bounded whatever the size of the benchmark. A hash that is found is verified word by word.
+are its runs of `width` words; an item with fewer words, but not none, is one window. The windows are dealt by hash into
+parts of about `most` windows; each part is broadcast and scanned for in a pass of its own, and the passes' hits are
+united, so what the driver and an executor hold is bounded whatever the size of the benchmark. A hash that is found is
+verified word by word.
 
 Defined results: a null or empty text has no words and is clean; an item without words or without an id is left out;
 items that share an id are one item; repeated documents are rows of the result each; other columns are not read.
@@ -11,6 +12,7 @@ items that share an id are one item; repeated documents are rows of the result e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolled, keyed, mix, pieces, turn, within
+from .common import Rolled, cut, keyed, mix, pieces, ship, turn, within
 
 #: Every byte that is no part of a word becomes a space; capitals become small.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -78,40 +80,58 @@ def hit_words(spans: list[bytes], n: int) -> int:
     return int(within(spans, n).sum()) if any(spans) else 0
 
 
-def _parts(benchmark: DataFrame, width: int, most: int) -> list[dict[tuple[bytes, ...], list[int]]]:
-    """The benchmark's windows with their items, in parts of at most `most`; the items arrive one partition at a time."""
-    parts: list[dict] = [{}]
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator()
-    for r in rows:
-        for w in item_windows(bytes(r["text"]), width):
-            if w not in parts[-1] and len(parts[-1]) >= most:
-                parts.append({})
-            parts[-1].setdefault(w, []).append(r["item_id"])
-    return parts
+def windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item_id, n, window): the items' different windows of n words, joined by spaces."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                rows = [(i, len(w), b" ".join(w)) for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist()) for w in item_windows(t, width)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["item_id", "n", "window"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    return rows.mapInArrow(f, "item_id long, n int, window binary").distinct()
+
+
+_WINDOWS: dict[str, Windows] = {}
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, most: int = 1_000_000) -> list[DataFrame]:
     """keyed docs -> for each part of the windows: doc_id, uid, n_words, spans (pairs of uint32: first word, length) and
-    items, a row per row of docs."""
+    items, a row per row of docs.
+
+    The executors make the windows; the driver counts them, and fetches and broadcasts one part at a time, of about
+    `most` windows with an item each, dealt by hash. With several parts each pass ends, and its broadcast goes, before
+    the next begins."""
     spark = docs.sparkSession
+    ship(spark)
+    every = cut(windows(benchmark, width), "windows")
+    parts = max(1, -(-every.count() // most))
     out = []
-    for part in _parts(benchmark, width, most):
-        sent = spark.sparkContext.broadcast(part)
-        cache: list[Windows] = []
-
-        def f(batches: Iterator[pa.RecordBatch], sent=sent, cache=cache) -> Iterator[pa.RecordBatch]:
-            turn("decontam", lambda: None)
-            if not cache:
-                cache.append(Windows(sent.value))
+    for number in range(parts):
+        part: dict[tuple[bytes, ...], list[int]] = {}
+        for r in every.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == number).toLocalIterator():
+            part.setdefault(tuple(bytes(r["window"]).split(b" ")), []).append(r["item_id"])
+        sent, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def f(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            turn("decontam", _WINDOWS.clear)
+            if name not in _WINDOWS:
+                _WINDOWS.clear()
+                _WINDOWS[name] = Windows(sent.value)
             for batch in batches:
                 for p in pieces(batch):
                     words = [words_in(t) for t in p.column("text").to_pylist()]
-                    found = cache[0].scan(words)
+                    found = _WINDOWS[name].scan(words)
                     spans = [np.array(x, "<u4").tobytes() for x, _ in found]
                     hits = [hit_words([x], len(w)) for x, w in zip(spans, words)]
                     yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("uid"), pa.array([len(w) for w in words], pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), pa.array([sorted(i) for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "uid", "n_words", "n_hit", "spans", "items"])
 
-        out.append(docs.mapInArrow(f, SCANNED))
+        found = docs.mapInArrow(f, SCANNED)
+        if parts > 1:
+            found = cut(found, "hits")
+            sent.unpersist(blocking=True)
+        out.append(found)
     return out
 
 

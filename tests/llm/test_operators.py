@@ -169,6 +169,55 @@ def test_op2_attributes_are_names_and_values():
     assert names('<div id=main id="ad">') == {"main"}
 
 
+def other_pages(n, seed):
+    """Pages of another maker: tables, nested boxes and other names than the training pages have; with their true text."""
+    draw = np.random.default_rng(seed)
+    pick = lambda *xs: xs[int(draw.integers(len(xs)))]
+    words = lambda lo, hi: " ".join(draw.choice(WORDS, int(draw.integers(lo, hi))))
+    for _ in range(n):
+        blocks = [words(3, 8)] + [". ".join(words(8, 25) for _ in range(int(draw.integers(2, 5)))) + "." for _ in range(int(draw.integers(2, 9)))]
+        inner = f"<h1>{blocks[0]}</h1>" + "\n".join(f"<p class=par>{b}" + pick("</p>", "") for b in blocks[1:])
+        if draw.random() < 0.5:
+            inner = f"<div class='row'><div class='col'>{inner}</div></div>"
+        inner = pick("<article class=text>{}</article>", "<div class='blog post' id=p1>{}</div>", "<main role=main><section>{}</section></main>", "<div itemprop=articleBody>{}</div>").format(inner)
+        links = "".join(f"<a href='/{k}'>{words(1, 3)}</a> | " for k in range(int(draw.integers(4, 12))))
+        before = pick("<div id=topbar>{}</div>", "<nav class=top><table><tr><td>{}</td></tr></table></nav>", "<header><b>Site</b> {}</header>").format(links)
+        after = pick("<aside><h4>More</h4>{}</aside>", "<div class='related-stories related'>{}</div>", "<ol class=comments><li>Nice one, thanks. <li>{}</ol>").format(links) + f"<footer>{words(3, 9)}. {links}</footer>"
+        yield f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p {{}}</style></head><body>{before}{inner}{after}<script>var x = '<p>no</p>'</script></body></html>", "\n\n".join(blocks)
+
+
+def test_op2_on_pages_of_another_maker():
+    w, pair = html.trained()
+    pages = list(other_pages(120, 3))
+    exact = sum(html.extract(page, w, pair) == text for page, text in pages)
+    right = total = kept = 0
+    for page, text in pages:
+        got, want = Counter(html.extract(page, w, pair).split()), Counter(text.split())
+        right, kept, total = right + (got & want).total(), kept + got.total(), total + want.total()
+    assert right / total > 0.97 and right / kept > 0.97 and exact > 100
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "</i>" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<p>a" * 20000, "<div>" * 20000 + "x" + "</div>" * 20000, "<article><p>" + "word, and more. " * 60000 + "</p></article>"])
+def test_op2_deep_and_long_pages_take_linear_time(page):
+    import time
+
+    w, pair = html.trained()
+    began = time.process_time()
+    text = html.extract(page, w, pair)
+    assert time.process_time() - began < 5
+    assert ("word, and more." in text) == ("article" in page) and (len(text) > 900_000 or "article" not in page)
+
+
+def test_op2_table(spark):
+    page = next(iter(other_pages(1, 8)))[0]
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "y"), (None, "v", "", "z"), (3, "w", "<p>", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")  # text clashes with the result's
+    got = [tuple(r) for r in html.main_text(df).collect()]
+    want = next(iter(other_pages(1, 8)))[1]
+    assert Counter(got) == Counter([(1, "u", want), (1, "u", want), (2, None, ""), (None, "v", ""), (3, "w", "")])
+    assert html.main_text(df.limit(0)).count() == 0
+
+
 def test_op2_messages_are_exact():
     nodes, texts = html.parse("<div><p>a</p><p>b<b>c</b></p></div>")
     own, pair = rng.normal(size=len(nodes)), rng.normal(size=(2, 2))
@@ -213,6 +262,7 @@ def test_op3(spark, docs, none):
 
 def test_op4(spark, docs, none):
     bench = spark.createDataFrame([(1, PASSAGE), (2, "Two words"), (2, "one"), (10, "gnu general public license"), (3, None), (4, "!!"), (None, "and")], "item_id long, text string")
+    assert decontam.windows(bench, 13).count() == 51  # null, empty and nameless items have none
     window = lambda w: [tuple(w)] if 0 < len(w) < 13 else [tuple(w[i : i + 13]) for i in range(len(w) - 12)]
     items = [(i, w) for i, t in ((1, PASSAGE), (2, "Two words"), (2, "one"), (10, "gnu general public license")) for w in window(decontam.words_in(t.encode()))]
     want = Counter()
@@ -225,7 +275,7 @@ def test_op4(spark, docs, none):
                     hit |= set(range(p, p + len(x)))
                     ids.add(i)
         want[d, len(w), len(hit), tuple(sorted(ids)), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
-    for most in (1_000_000, 20):  # one pass, and several
+    for most in (1_000_000, 20, 3):  # one pass, and several
         got = decontam.contamination(docs, bench, most=most).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"])), r["contaminated"]) for r in got) == want
     assert decontam.contamination(none, bench).count() == 0
