@@ -1,10 +1,11 @@
 """License scans by diagonal voting, in DataFrame operations alone.
 
-Every text's rolling runs of K words are joined to the places they have in the license templates. A hit at word p of the
-text and word t of a template votes for the diagonal p - t; votes are counted by diagonal, diagonals that lie within
-SLACK of each other are merged (words may be missing or added), and the merged span is verified: it must hold at least
-`share` of the template's runs, all equal word for word, within the template's length and the slack. The templates are
-fixed text, so the joined side is small whatever the input.
+A text's rolling runs of K words are hashed where the text is parsed, once; those whose hash a license template has are
+joined to the places they have in the templates and compared word for word. A hit at word p of the text and word t of a
+template votes for the diagonal p - t; votes are counted by diagonal, diagonals that lie within SLACK of each other are
+merged (words may be missing or added), and the merged span is verified: it must hold at least `share` of the template's
+runs, within the template's length and the slack. The templates are fixed text, so the joined side is small whatever the
+input.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case. Base phrases are counted
 apart and their labels always stay.
@@ -19,40 +20,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 K, SLACK, SHARE = 3, 2, 0.6
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases and labels of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Public license notices, in words.
+#: Public license texts and notices, in words.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
     ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
 ]
 
 
-def runs(words: Column) -> Column:
-    """All runs of K words, joined by spaces."""
-    return F.when(F.size(words) >= K, F.transform(F.sequence(F.lit(0), F.size(words) - K), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(K))))).otherwise(F.array().cast("array<string>"))
+def run_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(*(F.get(words, i + k) for k in range(K)))
 
 
 def templates(spark: SparkSession) -> DataFrame:
+    """(template, label, at, run, runs, h): the templates' runs with their places. A fixed table."""
     rows = []
     for k, (label, text) in enumerate(TEMPLATES):
         w = text.split()
         rows += [(k, label, t, " ".join(w[t : t + K]), len(w) - K + 1) for t in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, at int, run string, runs int").withColumn("h", F.xxhash64("run"))
+    return spark.createDataFrame(rows, "template int, label string, at int, run string, runs int").withColumn("h", run_hash(F.split("run", " "), F.lit(0)))
 
 
 def phrase_at(words: Column, i: Column, phrase: str) -> Column:
@@ -75,16 +89,24 @@ def lowered(text: Column) -> Column:
 
 def scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
     spark = docs.sparkSession
+    t = templates(spark)
+    hashes = [r["h"] for r in t.select("h").distinct().collect()]  # the fixed table's
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), F.regexp_extract_all(lowered(F.coalesce(F.col("text"), F.lit(""))), F.lit(PATTERN), F.lit(0)).alias("words"))
-    n = F.size("words")
-    places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: _any(phrase_at(F.col("words"), i, p) for p in BASE))).otherwise(F.array().cast("array<int>"))
-    based = split.select("doc_id", "uid", "words", places.alias("places"))
+    words, n = F.col("words"), F.size("words")
+    none = F.array().cast("array<int>")
+    # Words that begin a base phrase, and runs that a template has, come first; all else is compared at those few places.
+    heads = sorted({p.split()[0] for p in BASE})
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, i).isin(heads))).otherwise(none)
+    runs = F.when(n >= K, F.filter(F.sequence(F.lit(0), n - K), lambda i: run_hash(words, i).isin(hashes))).otherwise(none)
+    found = split.select("doc_id", "uid", "words", n.cast("long").alias("n_words"), F.filter(starts, lambda i: _any(phrase_at(words, i, p) for p in BASE)).alias("places"), runs.alias("runs"))
     labels = F.filter(F.array(*[F.when(F.exists("places", _holds(p)), F.lit(x)) for p, x in BASE.items()]), lambda x: x.isNotNull())
-    based = based.select("doc_id", "uid", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.get("places", F.lit(0)).cast("long").alias("first_word"), F.get("places", F.size("places") - 1).cast("long").alias("last_word"), F.array_sort(labels).alias("base"))
+    run = F.transform("runs", lambda i: F.struct(i.alias("p"), F.concat_ws(" ", *(F.get(words, i + k) for k in range(K))).alias("run")))
+    found = found.select("doc_id", "uid", "n_words", F.size("places").cast("long").alias("n_base"), F.get("places", F.lit(0)).cast("long").alias("first_word"), F.get("places", F.size("places") - 1).cast("long").alias("last_word"), F.array_sort(labels).alias("base"), run.alias("hits"))
+    parsed = cut(found, "parsed")  # texts are parsed once; what is left is small
+    based = parsed.drop("hits")
 
-    t = templates(spark)
-    rolling = split.select("doc_id", "uid", F.posexplode(runs(F.col("words"))).alias("p", "run")).withColumn("h", F.xxhash64("run"))
-    hits = rolling.join(F.broadcast(t.withColumnRenamed("run", "template_run")), "h").where("run = template_run")  # a fixed table
+    hits = parsed.select("doc_id", "uid", F.explode("hits").alias("hit")).select("doc_id", "uid", "hit.p", "hit.run").withColumn("h", run_hash(F.split("run", " "), F.lit(0)))
+    hits = hits.join(F.broadcast(t.withColumnRenamed("run", "template_run")), "h").where("run = template_run")
     hits = hits.select("doc_id", "uid", "template", "label", "runs", "p", (F.col("p") - F.col("at")).alias("diagonal"))
     votes = hits.distinct().groupBy("doc_id", "uid", "template", "label", "runs", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
     order = Window.partitionBy("doc_id", "uid", "template").orderBy("diagonal")
