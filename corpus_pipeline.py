@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
 of documents. run() writes each result as Parquet in the shared folder and reads it back for the next stage.
+
+Defined results: documents without a letter (null, empty, signs alone) go in the first stage; rows that repeat are one
+group of the second, of which one row stays; a row without a doc_id is kept where it is its group's only kind; texts of
+any length are worked on whole; an empty table stays empty through all stages; further columns are carried.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from strandlake.llm.tokens import vocabulary
 
 #: Not SQL: trained models, fingerprints and packing.
 ORACLE_SQL = None
+#: Bits of 64 by which fingerprints of near duplicates may differ (the query op10_simhash takes 2).
+NEAR_BITS = 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each SimHash group, the one with the smallest doc_id. Fingerprints are of runs of three words, as
+    op10_simhash has them; they link at NEAR_BITS or fewer differing bits, 15/16 of all being equal."""
+    return simhash.one_of_each(docs, bits=NEAR_BITS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
