@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions_for, pieces, scratch, texts
@@ -106,16 +106,12 @@ def write_records(docs: DataFrame, folder: str, vocab: str, end_id: int = 2, sha
 def read_records(manifest: DataFrame) -> DataFrame:
     """Every record, read back: doc_id, start (ids of all records before it), n_tokens, ids_crc32 and the ids' bytes.
 
-    The manifest has one row per shard, so prefix sums over it are small; a shard is read by one task as a stream.
+    A shard's base, the ids of the shards before it, is a running sum over the manifest (a row a shard); a shard is read
+    by one task as a stream.
     """
-    spark = manifest.sparkSession
-    rows = sorted(manifest.collect(), key=lambda r: r["shard"])
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    at, listed = 0, []
-    for r in rows:
-        listed.append((r["records"], r["offsets"], r["width"], at))
-        at += r["n_tokens"]
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    todo = cut(manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "shards")
+    n = max(1, todo.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +130,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 start = row["base"] + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays([pa.array(index[:, 0], pa.int64(), mask=index[:, 0] == NULL_ID), pa.array(start, pa.int64()), pa.array(n.copy(), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    todo = spark.createDataFrame(listed, "records string, offsets string, width int, base long").repartition(len(listed), "records")
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    number = F.row_number().over(Window.orderBy("shard")) - 1
+    return todo.withColumn("number", number.cast("int")).repartitionById(n, F.col("number")).drop("number").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_record(records: str, offset: int, width: int = 2) -> np.ndarray:
