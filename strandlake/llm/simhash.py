@@ -169,20 +169,21 @@ def near_links(different: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
-    """(doc_id, uid, fp, component_id) for every row of docs, equal for rows of one doc_id and text."""
+    """(doc_id, uid, fp, root, component_id) for every row of docs, equal for rows of one doc_id and text. root is the
+    group's own fingerprint, which tells groups apart even where rows of one doc_id are in several."""
     marked = cut(fingerprints(docs, k), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(near_links(classes.select("fp"), bits))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(least, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "uid", "fp", "component_id")
+    named = cut(named.join(least, "root").select("fp", "root", "component_id"), "named")
+    return marked.join(named, "fp").select("doc_id", "uid", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each group: of its least doc_id, or without one if no member has one."""
-    groups = cut(near_groups(docs, k, bits).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"), "doc_id", "uid").agg(F.count("*").alias("times")), "groups")
-    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fp").agg(F.min(F.struct("uid", "times")).alias("m"))
+    groups = cut(near_groups(docs, k, bits).groupBy("root", "component_id", "doc_id", "uid").agg(F.count("*").alias("times")), "groups")
+    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(F.struct("uid", "times")).alias("m"))
     kept = least.select(F.col("component_id").alias("__d"), F.col("m.uid").alias("__u"), F.col("m.times").alias("__n"))
     rows = docs.withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
     out = rows.join(kept, (rows["__uid"] == kept["__u"]) & rows["doc_id"].eqNullSafe(kept["__d"]))

@@ -526,7 +526,9 @@ def test_op10(docs, none):
     name = {x: min((d for d, y in f if y in group[x] and d is not None), default=None) for x in group}
     assert all(r["component_id"] == name[r["fp"] % (1 << 64)] for r in got)
     assert simhash.near_groups(none).count() == 0
-    assert simhash.one_of_each(docs).groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = [(r["doc_id"], fp(r["text"])) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(name[x] if name[x] is not None else -1 for x in {min(group[x]) for x in group}) == sorted(-1 if d is None else d for d, _ in kept)
+    assert len({min(group[x]) for _, x in kept}) == len(kept)  # one of each group, also of two that begin with one doc_id
 
 
 @pytest.mark.parametrize("bits", [2, 4])
@@ -561,10 +563,46 @@ def test_op10_tally_drops_pairs_that_share_a_list_alone():
     assert (simhash._least_reached(a, 0xFFFFFFFF, 4, 4) == 0).all()
 
 
+def pipeline_by_force(rows, items):
+    """(doc_id, piece, start, length, crc) of the pipeline, without Spark: rows of doc_id and text, benchmark texts."""
+    from tokenizers import Tokenizer
+
+    rows = [(d, t) for d, t in rows if t and any(map(str.isalpha, t))]
+    f = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (f[i] ^ f[j]).bit_count() <= 4 and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    rows = [min((rows[k] for k in range(len(rows)) if group[k] == g), key=lambda r: r[0]) for g in sorted(set(group))]
+    least, out = {}, []
+    for d, t in rows:
+        w = t.encode().split()
+        for i in range(len(w) - 12):
+            least[tuple(w[i : i + 13])] = min(d, least.get(tuple(w[i : i + 13]), d))
+    for d, t in rows:
+        w = t.encode().split()
+        gone = {j for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        if len(gone) < len(w) or not gone:
+            out.append((d, b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else t))
+    tok, pieces = Tokenizer.from_file(tokens.vocabulary()), Counter()
+    for d, t in out:
+        w, hit = decontam.words_in(t.encode()), set()
+        for x in (x for i in items for x in decontam.item_windows(i.encode(), 13)):
+            hit |= {p + j for p in range(len(w)) if tuple(w[p : p + len(x)]) == x for j in range(len(x))}
+        if not hit or 20 * len(hit) < len(w):
+            ids = tok.encode(t, add_special_tokens=False).ids + [1]
+            pieces.update((d, k, a, len(ids[a : a + 4096]), crc(ids[a : a + 4096])) for k, a in enumerate(range(0, len(ids), 4096)))
+    return pieces
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as P
 
-    docs.where("doc_id is not null").write.parquet(f"{tmp_path}/documents.parquet")
+    near = [(100 + k, " ".join(w if i != 40 + k else "other" for i, w in enumerate(TEXTS[8].split())), "en", "s", 1, None) for k in range(3)]
+    ids = docs.where("doc_id is not null").unionByName(spark.createDataFrame(near, SCHEMA))
+    ids.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, NOTICE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     step, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for k, (name, f) in enumerate(P.STAGES):
@@ -574,7 +612,31 @@ def test_pipeline(spark, docs, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         step = spark.read.parquet(f"{tmp_path}/{k}")
         seen[name] = {r["doc_id"] for r in step.select("doc_id").collect()}
-    assert seen["language"] == {d for d, t, *_ in ROWS if d is not None and t and any(map(str.isalpha, t))}
-    assert 20 in seen["language"] and 21 not in seen["near_duplicates"]
+    assert seen["language"] == {d for d, t, *_ in [*ROWS, *near] if d is not None and t and any(map(str.isalpha, t))}
+    assert 20 in seen["language"] and 21 not in seen["near_duplicates"] and not {100, 101, 102} & seen["near_duplicates"]
     assert 14 not in seen["decontaminate"] and 8 in seen["pack"]
-    assert json.dumps([n for n, _ in P.STAGES])
+    want = pipeline_by_force([(r["doc_id"], r["text"]) for r in ids.collect()], [NOTICE])
+    assert of(step.collect(), "doc_id", "piece", "start", "length", "ids_crc32") == want
+
+
+def test_pipeline_of_nothing_and_of_rows_without_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name, rows in (("none", []), ("odd", [(None, say(30), "en", None, None, None), (None, say(30), "en", None, None, None), (1, None, None, None, None, None), (2, "x " * 30_000, "en", "s", 1, None), (2, "x " * 30_000, "en", "s", 1, None)])):
+        top = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{top}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+        got = Counter(r["doc_id"] for r in P.run(spark, top).collect())
+        assert got == (Counter() if name == "none" else Counter({None: 2, 2: got[2]})) and (name == "none" or got[2] > 0)
+
+
+def test_packing_program_carries_the_packing(spark):
+    """Of the driver's documents, the program's configurations place nearly all; best fit the few that are left."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokens.vocabulary(), 1, 4096)
+    h = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    lengths = np.array(sorted(h))
+    need = np.array([h[int(x)] for x in lengths])
+    out, left = packing.cover(lengths, need, 4096)
+    assert lengths @ left < 0.2 * (lengths @ need) and left.sum() < 0.2 * need.sum()
+    bound = max(-(-int(lengths @ need) // 4096), int(need[lengths > 2048].sum()))
+    assert sum(t for t, _ in packing.plan(h, 4096)) <= bound * 1.01 + 1
