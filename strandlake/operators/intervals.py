@@ -18,15 +18,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..errors import StreamError
 from ..session import cut, partitions_for, ship
 
-#: Intervals up to which they are broadcast to the points, and blocks of the value range that they meet by.
-SMALL, BLOCKS = 100_000, 4096
+#: Intervals up to which they are broadcast to the points, blocks of the value range that they meet by, and intervals
+#: that a block may hold for that: a point is compared with all of its block.
+SMALL, BLOCKS, DENSE = 100_000, 4096, 256
 
 
 def stab(points: DataFrame, intervals: DataFrame, x: str = "x", small: int = SMALL, parts: int | None = None) -> DataFrame:
     """points with a and payload of the interval that holds x, null where none does, or where x is null.
 
     Few intervals (their number is counted) are broadcast, each under every block of the value range it touches, which
-    for disjoint ones is a row an interval and block at most. Many are scanned in order with the points.
+    for disjoint ones is a row an interval and block at most. Many, or many in one block, are scanned in order with the
+    points.
     """
     span = intervals.agg(F.min("a").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n")).first()
     names = points.columns
@@ -38,6 +40,8 @@ def stab(points: DataFrame, intervals: DataFrame, x: str = "x", small: int = SMA
     width = max(1, (span["hi"] - span["lo"]) // BLOCKS + 1)
     block = lambda c: F.floor((c - F.lit(span["lo"])) / F.lit(width))
     held = intervals.select(F.explode(F.sequence(block(F.col("a")), block(F.col("b") - 1))).alias("__block"), F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("payload").alias("__payload"))
+    if not held.groupBy("__block").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).isEmpty():
+        return _merged(points, intervals, x, parts)
     keyed = points.withColumn("__x", F.col(x)).withColumn("__own", block(F.col(x)))
     met = keyed.join(F.broadcast(held), (F.col("__own") == F.col("__block")) & (F.col("__a") <= F.col("__x")) & (F.col("__x") < F.col("__b")), "left")
     return met.select(*names, F.col("__a").alias("a"), F.col("__payload").alias("payload"))

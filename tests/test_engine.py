@@ -284,6 +284,12 @@ def test_interval_runs_over_partitions(spark):
     want = lambda v: None if v is None or v < 0 else "far" if v < 1000 else str((v - 1000) // 2) if v < 1400 and v % 2 == 0 else None
     for small in (10**6, 0):
         assert all(r["payload"] == want(r["x"]) for r in intervals.stab(x, far, small=small, parts=9).collect())
+    dense = far.unionByName(spark.createDataFrame([(10**9, 10**9 + 1, "end")], far.schema))  # 200 intervals and more in one block
+    intervals_dense, intervals.DENSE = intervals.DENSE, 100
+    try:
+        assert all(r["payload"] == want(r["x"]) for r in intervals.stab(x, dense, parts=9).collect())
+    finally:
+        intervals.DENSE = intervals_dense
     more = far.unionByName(spark.createDataFrame([(999, 1003, "cut")], far.schema))
     got = {(r["a"], r["reaches"]) for r in intervals.overlaps(more, parts=9).collect()}
     assert got == {(999, 1000), (1000, 1003), (1002, 1003)}
