@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import PACKED, Rolled, answer_buckets, answers, assembled, cut, exchange, groups, keyed, mix, packed, partitions_for, pieces, release, runs_of, turn, unpack, within
 
-WIDTH, BLOCKS, PRIME = 400, 3, 17
+WIDTH, BLOCKS, PRIME = 400, 5, 17
 #: Bytes of uid, place, and the part of the second hash that travels: with the first one's 64 bits it makes 96.
 _WIDTHS, _WIDE = (8, 4), (8, 4, 4)
 SPANS = "uid long, spans binary"
