@@ -55,16 +55,21 @@ def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.n
 
     Spaces that are best left partly empty have the answer of the largest space below, -1 if nothing fits.
     """
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]) if len(lengths) else capacity + 1, capacity + 1):  # lengths ascend
-        n = np.searchsorted(lengths, c, "right")
-        got = best[c - lengths[:n]] + weights[:n]
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    if not len(lengths):
+        return best, pick
+    # Weights by length, and the best fillings from the largest space down: both run on in memory for any space.
+    by_length, place = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    by_length[lengths], place[lengths] = weights, np.arange(len(lengths))
+    down = np.zeros(capacity + 1)
+    for c in range(int(lengths[0]), capacity + 1):  # lengths ascend
+        got = down[capacity - c + 1 :] + by_length[1 : c + 1]
         k = int(got.argmax())
         if got[k] > best[c - 1]:
-            best[c], pick[c] = got[k], k
+            best[c], pick[c] = got[k], place[k + 1]
         else:
             best[c], pick[c] = best[c - 1], -2
+        down[capacity - c] = best[c]
     return best, pick
 
 
