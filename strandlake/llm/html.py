@@ -20,7 +20,6 @@ closed as their parents close; pages that repeat are rows of the result each; ot
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -173,59 +172,56 @@ def features(nodes: list[Node], texts: list[tuple[int, int, str]]) -> np.ndarray
         up.chars += nodes[k].chars
         up.links += nodes[k].links
         up.stops += nodes[k].stops
-    out = np.zeros((len(nodes), FEATURES))
-    for k, x in enumerate(nodes):
+    out = []
+    for x in nodes:
         inline = x.tag in INLINE
         y = nodes[x.parent] if inline else x  # a link in running text is as dense as its paragraph
         size = max(1, y.chars)
-        out[k] = (
+        out.append((
             1, x.tag == "article", x.tag == "main", x.tag in ("p", "pre", "blockquote"), x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), x.tag in ("ul", "ol", "li", "dl"), x.tag == "header",
             bool(x.names & BOILERPLATE), bool(x.names & CONTENT), y.links / size, min(1.0, y.chars / 400), min(1.0, 20 * y.stops / size), min(1.0, x.depth / 10), inline, x.tag in ("div", "section"),
-        )
-    return out
+        ))
+    return np.array(out, np.float64).reshape(-1, FEATURES)
+
+
+class Forest:
+    """The trees of many pages at once: each node's parent (-1 for a page), and the nodes of each depth."""
+
+    def __init__(self, trees: list[list[Node]]):
+        sizes = np.fromiter(map(len, trees), np.int64, len(trees))
+        self.starts = np.cumsum(sizes) - sizes
+        self.parent = np.array([x.parent + at if x.parent >= 0 else -1 for at, tree in zip(self.starts.tolist(), trees) for x in tree], np.int64)
+        depth = np.array([x.depth for tree in trees for x in tree], np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
 
 
-def marginals(nodes: list[Node], own: np.ndarray, pair: np.ndarray, clamp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sum-product: each node's content marginal, each child's joint with its parent (parent, child), and log Z.
+def marginals(forest: Forest, own: np.ndarray, pair: np.ndarray, clamp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum-product: each node's content marginal, each child's joint with its parent (parent, child), and log Z of its
+    page. Messages go up and down a level of all pages at a time.
 
     own: the log potential of content less that of boilerplate, a node; pair: log potentials (parent, child);
     clamp: 0 or 1 for known nodes, -1 for the others.
     """
-    n = len(nodes)
-    local = np.zeros((n, 2))
-    local[:, 1] = own
+    n, parent = len(forest.parent), forest.parent
+    up = np.zeros((n, 2))  # a node's belief from below, by state
+    up[:, 1] = own
     if clamp is not None:
-        local[clamp == 0, 1] = -1e9
-        local[clamp == 1, 0] = -1e9
-    up = [list(x) for x in local]  # node's belief from below, by state
-    rows = pair.tolist()
-    send = [(0.0, 0.0)] * n
-    for k in range(n - 1, 0, -1):  # upward
-        a, b = up[k]
-        m0, m1 = _lse(rows[0][0] + a, rows[0][1] + b), _lse(rows[1][0] + a, rows[1][1] + b)
-        send[k] = (m0, m1)
-        p = up[nodes[k].parent]
-        p[0] += m0
-        p[1] += m1
-    z = _lse(up[0][0], up[0][1])
-    full = [None] * n
-    full[0] = (up[0][0], up[0][1])
-    joint = np.zeros((n, 2, 2))
-    for k in range(1, n):  # downward
-        f = full[nodes[k].parent]
-        q0, q1 = f[0] - send[k][0], f[1] - send[k][1]  # the parent without this child
-        a, b = up[k]
-        w = (q0 + rows[0][0] + a, q0 + rows[0][1] + b, q1 + rows[1][0] + a, q1 + rows[1][1] + b)
-        joint[k] = ((w[0] - z, w[1] - z), (w[2] - z, w[3] - z))
-        full[k] = (a + _lse(q0 + rows[0][0], q1 + rows[1][0]), b + _lse(q0 + rows[0][1], q1 + rows[1][1]))
-    f = np.array(full)
-    return 1 / (1 + np.exp(np.clip(f[:, 0] - f[:, 1], -500, 500))), np.exp(np.clip(joint, -500, 0)), z
-
-
-def _lse(a: float, b: float) -> float:
-    hi, lo = (a, b) if a > b else (b, a)
-    d = lo - hi
-    return hi if d < -40 else hi + math.log1p(math.exp(d))
+        up[clamp == 0, 1] = -1e9
+        up[clamp == 1, 0] = -1e9
+    send, joint, full, z = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros(n)
+    for level in forest.levels[:0:-1]:  # upward
+        send[level] = np.logaddexp(pair[:, 0] + up[level, :1], pair[:, 1] + up[level, 1:])
+        np.add.at(up, parent[level], send[level])
+    for k, level in enumerate(forest.levels):  # downward
+        if not k:
+            full[level], z[level] = up[level], np.logaddexp(up[level, 0], up[level, 1])
+            continue
+        without = full[parent[level]] - send[level]  # the parent without this child
+        z[level] = z[parent[level]]
+        joint[level] = without[:, :, None] + pair[None] + up[level][:, None, :] - z[level][:, None, None]
+        full[level] = up[level] + np.logaddexp(without[:, :1] + pair[0], without[:, 1:] + pair[1])
+    return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500))), np.exp(np.clip(joint, -500, 0)), z
 
 
 def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, set[str]]]:
@@ -306,10 +302,9 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[tuple[str, set[str]]]:
 @lru_cache
 def trained(rounds: int = 120, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and log potentials (parent, child), fitted on labelled_pages()."""
-    pages = []
+    trees, xs, labels = [], [], []
     for page, content in labelled_pages():
         nodes, texts = parse(page)
-        x = features(nodes, texts)
         label = np.zeros(len(nodes), np.int64)
         for k, _, t in texts:
             if t.strip() in content:
@@ -317,36 +312,42 @@ def trained(rounds: int = 120, rate: float = 0.5) -> tuple[np.ndarray, np.ndarra
         for k in range(len(nodes) - 1, 0, -1):  # an element is content if any element in it is, up to the page's body
             if label[k] and nodes[k].parent >= 0 and nodes[nodes[k].parent].tag not in ("#page", "html"):
                 label[nodes[k].parent] = 1
-        pages.append((nodes, x, label))
+        trees.append(nodes)
+        xs.append(features(nodes, texts))
+        labels.append(label)
+    forest, x, label = Forest(trees), np.concatenate(xs), np.concatenate(labels)
+    child = np.flatnonzero(forest.parent >= 0)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[forest.parent[child]], label[child]), 1)
     w, pair = np.zeros(FEATURES), np.array([[0.5, -0.5], [-0.5, 0.5]])
-    total = sum(len(p[0]) for p in pages)
-    for step in range(rounds):
-        gw, gp = np.zeros(FEATURES), np.zeros((2, 2))
-        for nodes, x, label in pages:
-            m, joint, _ = marginals(nodes, x @ w, pair)
-            gw += x.T @ (label - m)
-            np.add.at(gp, (label[[q.parent for q in nodes[1:]]], label[1:]), 1)
-            gp -= joint[1:].sum(axis=0)
-        w += rate * 20 * (gw / total - 1e-4 * w)
-        pair += rate * 4 * (gp / total - 1e-4 * pair)
+    for _ in range(rounds):
+        m, joint, _ = marginals(forest, x @ w, pair)
+        w += rate * 20 * (x.T @ (label - m) / len(x) - 1e-4 * w)
+        pair += rate * 4 * ((seen - joint[child].sum(axis=0)) / len(x) - 1e-4 * pair)
     return w, pair
 
 
+def extract_all(pages: list[str | None], w: np.ndarray, pair: np.ndarray) -> list[str]:
+    parsed = [parse(p or "") for p in pages]
+    if not parsed:
+        return []
+    forest = Forest([nodes for nodes, _ in parsed])
+    x = np.concatenate([features(nodes, texts) for nodes, texts in parsed])
+    clamp = np.array([0 if q.fixed else -1 for nodes, _ in parsed for q in nodes])
+    keep = (marginals(forest, x @ w, pair, clamp)[0] >= 0.5).tolist()
+    out = []
+    for at, (_, texts) in zip(forest.starts.tolist(), parsed):
+        blocks: dict[int, list[str]] = {}
+        for k, block, t in texts:
+            if keep[at + k]:
+                blocks.setdefault(block, []).append(t)
+        joined = (SPACE.sub(" ", "".join(b)).strip(" ") for b in blocks.values())
+        out.append("\n\n".join(b for b in joined if b))
+    return out
+
+
 def extract(page: str | None, w: np.ndarray, pair: np.ndarray) -> str:
-    if not page:
-        return ""
-    nodes, texts = parse(page)
-    if not texts:
-        return ""
-    x = features(nodes, texts)
-    clamp = np.array([0 if q.fixed else -1 for q in nodes])
-    keep = marginals(nodes, x @ w, pair, clamp)[0] >= 0.5
-    blocks: dict[int, list[str]] = {}
-    for k, block, t in texts:
-        if keep[k]:
-            blocks.setdefault(block, []).append(t)
-    joined = (SPACE.sub(" ", "".join(b)).strip(" ") for b in blocks.values())
-    return "\n\n".join(b for b in joined if b)
+    return extract_all([page], w, pair)[0]
 
 
 def main_text(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -358,7 +359,7 @@ def main_text(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__html"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([extract(h, w, pair) for h in part.column("__html").to_pylist()], pa.string())], names=[*keep, "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(extract_all(part.column("__html").to_pylist(), w, pair), pa.string())], names=[*keep, "text"])
 
     return rows.mapInArrow(f, schema)
 

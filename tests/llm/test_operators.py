@@ -226,8 +226,17 @@ def test_op2_messages_are_exact():
         x = [s >> k & 1 for k in range(len(nodes))]
         p = np.exp(sum(o * v for o, v in zip(own, x)) + sum(pair[x[n.parent]][x[k]] for k, n in enumerate(nodes) if k))
         z, m = z + p, m + p * np.array(x)
-    got, joint, logz = html.marginals(nodes, own, pair)
-    assert np.allclose(got, m / z) and np.isclose(logz, np.log(z)) and np.allclose(joint[1:].sum(axis=(1, 2)), 1)
+    for trees in ([nodes], [nodes[:1], nodes, html.parse("<p>x</p>")[0], nodes]):  # by itself, and among others
+        forest = html.Forest(trees)
+        x = np.zeros(sum(map(len, trees)))
+        for at, tree in zip(forest.starts, trees):
+            if tree is nodes:
+                x[at : at + len(nodes)] = own
+        got, joint, logz = html.marginals(forest, x, pair)
+        for at, tree in zip(forest.starts, trees):
+            if tree is nodes:
+                assert np.allclose(got[at : at + len(nodes)], m / z) and np.isclose(logz[at], np.log(z))
+        assert np.allclose(joint[forest.parent >= 0].sum(axis=(1, 2)), 1)
 
 
 def encoded(end):
