@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import StreamError
+
 
 def violations(df: DataFrame, back: int, order: str = "seq", pos: str = "p", against: str = "previous", block: int = 1 << 20) -> DataFrame:
     """Rows written more than `back` behind the previous one (or behind the largest so far, against="largest").
@@ -16,7 +18,7 @@ def violations(df: DataFrame, back: int, order: str = "seq", pos: str = "p", aga
     Neighbours meet in blocks of the order column; the ends of each block carry over, a row a block.
     """
     if against not in ("previous", "largest"):
-        raise ValueError("against is previous or largest")
+        raise StreamError("against is previous or largest")
     rows = df.withColumn("__b", F.floor(F.col(order) / F.lit(block)))
     w = Window.partitionBy("__b").orderBy(order)
     over = Window.orderBy("__b")
@@ -32,7 +34,7 @@ def violations(df: DataFrame, back: int, order: str = "seq", pos: str = "p", aga
 def frame_sums(df: DataFrame, rows: int, key: str, order: str, block: int = 1 << 20) -> DataFrame:
     """df with the sum of key over each row and the `rows` before it. Each block also gets the last rows of the one before."""
     if rows >= block:
-        raise ValueError("a frame must be smaller than a block")
+        raise StreamError("a frame must be smaller than a block")
     own = df.withColumn("__b", F.floor(F.col(order) / F.lit(block))).withColumn("__mine", F.lit(True))
     tail = own.where(F.pmod(F.col(order), F.lit(block)) >= block - rows).withColumn("__b", F.col("__b") + 1).withColumn("__mine", F.lit(False))
     w = Window.partitionBy("__b").orderBy(order).rowsBetween(-rows, 0)

@@ -15,14 +15,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import StreamError
-from ..functions.keys import modulus, unsigned
 from ..functions.metrics import SpeedReport
 from ..operators.lookback import violations
+from ..operators.order import wrapping_sum
 from ..session import scratch
 
 
@@ -65,6 +65,11 @@ class Window:
         return self._rows.where(F.col(self._pos) >= position)
 
 
+def _digest(p: Column) -> list[Column]:
+    h = F.xxhash64(p.cast("long"))
+    return [F.bit_xor(h).alias("mixed"), wrapping_sum(h).alias("total")]
+
+
 class Pipe:
     """One producer, one consumer. Rows have a dense position column from 0."""
 
@@ -112,9 +117,11 @@ class Pipe:
         raise StreamError before a block is there to be read."""
         state = self._get("producer", {"calls": 0, "rows": 0, "last": None, "schema": None})
         p = F.col(self.pos)
-        ends = df.agg(F.count("*").alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.countDistinct(p).alias("different"), *([F.min_by(p, F.col(order)).alias("first"), F.max_by(p, F.col(order)).alias("last")] if order else [])).first()
+        ends = df.agg(F.count("*").alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"), *_digest(p), *([F.min_by(p, F.col(order)).alias("first"), F.max_by(p, F.col(order)).alias("last")] if order else [])).first()
         if ends["n"]:
-            if (ends["lo"], ends["hi"] + 1, ends["different"]) != (state["rows"], state["rows"] + ends["n"], ends["n"]):
+            # Every position once: as many as the range has, with the same hashes in all.
+            whole = self.spark.range(state["rows"], state["rows"] + ends["n"]).agg(*_digest(F.col("id"))).first()
+            if (ends["lo"], ends["hi"] + 1, ends["mixed"], ends["total"]) != (state["rows"], state["rows"] + ends["n"], whole["mixed"], whole["total"]):
                 raise StreamError(f"positions {ends['lo']} to {ends['hi']} don't go on from {state['rows']}")
             if self.config.rows is not None and state["rows"] + ends["n"] > self.config.rows:
                 raise StreamError(f"the stream was declared to have {self.config.rows} rows")
@@ -210,14 +217,12 @@ class Pipe:
 def lane_sums(pipe: Pipe, lanes: int = 2, key: str = "k", timeout: int = 600) -> DataFrame:
     """(lane, total) modulo 2^64 over all that the pipe has and had: a micro-batch adds up its rows in the executors,
     and a number a lane is kept with the pipe."""
-    parts = F.pmod(F.sum(unsigned(F.col(key)).cast("decimal(38,0)")), modulus()).cast("decimal(20,0)").cast("string")
-
     def add(window: Window, number: int) -> None:
         done = pipe._get("sums", {"batch": -1, "totals": {}})
         if number <= done["batch"]:
             return
         totals = done["totals"]
-        for r in window.new().groupBy(F.pmod(F.col(pipe.pos), F.lit(lanes)).cast("int").alias("lane")).agg(parts.alias("s")).collect():
+        for r in window.new().groupBy(F.pmod(F.col(pipe.pos), F.lit(lanes)).cast("int").alias("lane")).agg(wrapping_sum(F.col(key)).alias("s")).collect():
             totals[str(r["lane"])] = str((int(totals.get(str(r["lane"]), 0)) + int(r["s"])) % (1 << 64))
         pipe._put("sums", number, {"batch": number, "totals": totals})
 
