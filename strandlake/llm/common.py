@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,18 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE) -> It
         at = to
 
 
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words (runs without ASCII white space) of the texts; all words one after another, as places among
+    them; and where each text's words begin, with the end of the last."""
+    raw = pa.array(texts, pa.large_binary())
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raw), raw.buffers()))
+    flat = split.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends parts off an empty word
+    coded = flat.filter(some).dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), ends
+
+
 _TURN: list = ["", lambda: None]
 
 
