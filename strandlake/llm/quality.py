@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pieces, scratch, ship, turn
+from .common import cut, mix, pieces, scratch, ship, split_words, turn
 from .records import store
 
 ORDER = 5
@@ -43,15 +42,8 @@ class Words:
     """The different words of some texts, as they stand in one run of symbols: a space before and after each."""
 
     def __init__(self, texts: list[bytes]):
-        raw = pa.array(texts, pa.large_binary())
-        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raw), raw.buffers()))
-        flat = split.flatten()
-        some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends parts off an empty word
-        coded = flat.filter(some).dictionary_encode()
-        #: The words one after another, as places in `words`, and where each text's begin and end.
-        self.at = coded.indices.to_numpy()
-        self.ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        self.words = [w.decode("utf-8", "replace").replace("\0", "\ufffd") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+        different, self.at, self.ends = split_words(texts)
+        self.words = [w.decode("utf-8", "replace").replace("\0", "\ufffd") for w in different]
         self.symbols = np.frombuffer((" " + " ".join(self.words) + " ").encode("utf-32-le", "surrogatepass"), "<u4") if self.words else np.zeros(1, "<u4")
         space = self.symbols == 32
         begins = np.maximum.accumulate(np.where(space, np.arange(len(space)), 0))
@@ -134,40 +126,36 @@ def model(counts: DataFrame) -> DataFrame:
     An n-gram that begins with white space, or has ORDER symbols, counts as often as it stands; the others count the
     different symbols before them.
     """
-    longer, levels = None, {}
-    for k in range(ORDER, 0, -1):
-        own = counts.where(F.char_length("gram") == k)
-        if longer is not None:
-            shorter = longer.select("lang", F.expr("substring(gram, 2)").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-            own = own.unionByName(shorter.where(~F.col("gram").startswith(" ") | (F.length("gram") == 1)))
-        longer = levels[k] = cut(own.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "level")
     same = lambda a, b: a.eqNullSafe(b)
-    symbols = levels[1].groupBy("lang").agg(F.count("*").alias("v")).select(F.col("lang").alias("l0"), "v")
-    lower, out, contexts = None, None, None
-    for k in range(1, ORDER + 1):
-        level = levels[k]
-        often = level.groupBy(F.col("lang").alias("l1")).agg(*(F.sum((F.col("n") == j).cast("double")).alias(f"n{j}") for j in (1, 2, 3, 4)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        fits = (F.col("n1") > 0) & (F.col("n2") > 0)
-        # n_j of zero leaves half of what could go; without n_1 or n_2 every discount is a half. A tenth is the least,
-        # so that no context keeps all it has for the symbols seen.
-        cut_off = [F.when(fits, F.when(F.col(f"n{j}") > 0, F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(0.5 * j)).otherwise(0.5).alias(f"d{j}") for j in (1, 2, 3)]
-        rows = level.join(often.select("l1", *cut_off), same(level["lang"], F.col("l1"))).drop("l1")
-        rows = rows.select("lang", "gram", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"), F.expr("left(gram, char_length(gram) - 1)").alias("context"))
-        after = rows.groupBy(F.col("lang").alias("l2"), F.col("context").alias("c2")).agg(F.sum("n").alias("total"), F.sum("d").alias("off")).withColumn("weight", F.col("off") / F.col("total"))
-        rows = rows.join(after, same(rows["lang"], F.col("l2")) & (rows["context"] == F.col("c2")))
-        if lower is None:
-            rows = rows.join(symbols, same(rows["lang"], F.col("l0"))).withColumn("below", 1 / (F.col("v") + 1))
-        else:
-            down = lower.select(F.col("lang").alias("l3"), F.col("gram").alias("g3"), F.col("p").alias("below"))
-            rows = rows.join(down, same(rows["lang"], F.col("l3")) & (F.expr("substring(gram, 2)") == F.col("g3")))
-        lower = cut(rows.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")).alias("p")), "order")
-        weights = after.select(F.col("l2").alias("lang"), F.col("c2").alias("gram"), "weight")
-        out = lower if out is None else out.unionByName(lower)
-        contexts = weights if contexts is None else contexts.unionByName(weights)
-    both = out.select("lang", "gram", "p", F.lit(None).cast("double").alias("weight")).unionByName(contexts.select("lang", "gram", F.lit(None).cast("double").alias("p"), "weight"))
-    unknown = symbols.select(F.col("l0").alias("lang"), F.lit("").alias("gram"), (1 / (F.col("v") + 1)).alias("p"), F.lit(None).cast("double").alias("weight"))
-    return both.unionByName(unknown).groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight"))
+    size = F.char_length("gram")
+    # The n-grams of each length: those counted, and the ends of those that are a symbol longer.
+    ends = counts.select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), lambda k: F.substring(F.col("gram"), size - k + 1, k))).alias("gram")).where(size > 1).distinct()
+    shorter = ends.select("lang", F.substring("gram", F.lit(2), F.lit(ORDER)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    levels = counts.unionByName(shorter.where(~F.col("gram").startswith(" ") | (size == 1))).withColumn("k", size)
+    levels = cut(levels.groupBy("lang", "gram", "k").agg(F.sum("n").alias("n")), "levels")
+    symbols = levels.where("k = 1").groupBy(F.col("lang").alias("l0")).agg((1 / (F.count("*") + 1)).alias("even"))
+
+    often = levels.groupBy(F.col("lang").alias("l1"), F.col("k").alias("k1")).agg(*(F.sum((F.col("n") == j).cast("double")).alias(f"n{j}") for j in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    fits = (F.col("n1") > 0) & (F.col("n2") > 0)
+    # n_j of zero leaves half of what could go; without n_1 or n_2 every discount is a half. A tenth is the least, so
+    # that no context keeps all it has for the symbols seen.
+    cut_off = [F.when(fits, F.when(F.col(f"n{j}") > 0, F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(0.5 * j)).otherwise(0.5).alias(f"d{j}") for j in (1, 2, 3)]
+    rows = levels.join(often.select("l1", "k1", *cut_off), same(levels["lang"], F.col("l1")) & (F.col("k") == F.col("k1")))
+    rows = rows.select("lang", "gram", "k", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"), F.substring("gram", F.lit(1), F.col("k") - 1).alias("context"))
+    after = rows.groupBy(F.col("lang").alias("l2"), F.col("context").alias("c2")).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+    rows = rows.join(after, same(rows["lang"], F.col("l2")) & (rows["context"] == F.col("c2")))
+    rows = cut(rows.select("lang", "gram", "k", "context", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "weight"), "parts")
+
+    # p = own + weight * p of the n-gram without its first symbol: each n-gram meets its ends, shortest first.
+    chain = rows.select("lang", "gram", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.substring(F.col("gram"), F.col("k") - j + 1, j))).alias("end"))
+    parts = rows.select(F.col("lang").alias("l3"), F.col("gram").alias("g3"), F.struct("k", "own", "weight").alias("part"))
+    chain = chain.join(parts, same(chain["lang"], F.col("l3")) & (chain["end"] == F.col("g3"))).groupBy("lang", "gram").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    chain = chain.join(symbols, same(chain["lang"], F.col("l0")))
+    p = chain.select("lang", "gram", F.aggregate("parts", F.col("even"), lambda below, x: x["own"] + x["weight"] * below).alias("p"), F.lit(None).cast("double").alias("weight"))
+    contexts = rows.groupBy("lang", F.col("context").alias("gram")).agg(F.lit(None).cast("double").alias("p"), F.max("weight").alias("weight"))
+    unknown = symbols.select(F.col("l0").alias("lang"), F.lit("").alias("gram"), F.col("even").alias("p"), F.lit(None).cast("double").alias("weight"))
+    return p.unionByName(contexts).unionByName(unknown).groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight"))
 
 
 SHARDS = "shard int, n int, hashes binary, logs binary, weights binary"
