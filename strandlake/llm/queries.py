@@ -28,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring": substring.OP1_SQL,
         "op4_decontaminate": decontam.OP4_SQL,
+        "op6_suffix": suffix.OP6_SQL,
         "op9_licenses": licenses.OP9_SQL,
     }

@@ -199,3 +199,17 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", (F.length("spans") / 8).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT r, b, unnest(range(octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w JOIN twice USING (h)),
+runs AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+cuts AS (SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a FROM runs UNION ALL SELECT r, octet_length(b), coalesce((SELECT max(e) FROM runs WHERE runs.r = d.r), 0) FROM d),
+kept AS (SELECT cuts.r, string_agg(CASE WHEN s > a THEN hex(b[a + 1 : s]) ELSE '' END, '' ORDER BY s) AS x FROM cuts JOIN d USING (r) GROUP BY cuts.r),
+sums AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""

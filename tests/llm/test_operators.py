@@ -512,6 +512,12 @@ def test_sql_twins(spark, docs):
     want = sorted(map(repr, con.sql(f"SELECT * FROM ({substring.OP1_SQL}) WHERE doc_id IS NOT NULL").fetchall()))
     got = substring.deduplicate(docs.where("doc_id is not null")).collect()
     assert sorted(repr((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"]).hexdigest())) for r in got) == want
+    want = sorted(map(repr, con.sql(f"SELECT * FROM ({suffix.OP6_SQL})").fetchall()))
+    got = suffix.deduplicate(docs).collect()
+    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]) // 8, hashlib.sha256(r["kept"]).hexdigest())) for r in got) == want
+    want = sorted(map(repr, con.sql(f"SELECT doc_id, n_words, n_hit, n_items, contaminated FROM ({decontam.OP4_SQL})").fetchall()))
+    got = decontam.contamination(docs, spark.createDataFrame([(1, PASSAGE), (2, "one")], "item_id long, text string")).collect()
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), r["contaminated"])) for r in got) == want
 
 
 def test_op10(docs, none):
