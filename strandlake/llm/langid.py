@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolled, mix, pieces, ship, split_words, turn
+from .common import Rolled, mix, pieces, ship, turn
 
 MARK = "▁"
 #: Probability of a letter that no piece has, and the words that a worker's cache holds at most.
@@ -85,7 +85,8 @@ class Vocabulary:
                     out[:, k - 1 :, k - 1] = np.where(known[i] == h, ids[i], self.size).reshape(len(own), -1)
                 one = out[:, :, 0]
                 one[one == self.size] = self.size + 1
-                yield own, out
+                longest = max((k for k in self.by_length if k <= n and (out[:, :, k - 1] != self.size).any()), default=1)
+                yield own, out[:, :, :longest]  # no longer piece is in these words
 
     def forward(self, lattice: np.ndarray, p: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
         """Probability of each prefix under each language (word, letters, language), summed over all segmentations. With
@@ -176,46 +177,31 @@ def fit(docs: DataFrame, pieces_file: str, sample: int = 300) -> tuple[list[str]
 
 
 class Scorer:
-    """Sums of words' log likelihoods, with bounded caches of words, and of tokens: what stands between white space, which
-    no word reaches across."""
+    """Sums of words' log likelihoods, with a bounded cache of words."""
 
     def __init__(self, v: Vocabulary, p: np.ndarray):
-        self.v, self.p = v, p
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.logs = np.zeros((0, self.p.shape[1]))
-        self.tokens: dict[bytes, int] = {}
-        self.sums, self.lettered = np.zeros((0, self.p.shape[1])), np.zeros(0, bool)
-
-    def _learn(self, tokens: list[bytes]) -> None:
-        texts = [t.decode("utf-8", "replace") for t in tokens]
-        found = [words_of_text(t) for t in texts]
-        new = sorted({w for x in found for w in x if w not in self.words})
-        if new:
-            self.words.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
-            self.logs = np.concatenate([self.logs, log_likelihoods(self.v, self.p, [MARK + w for w in new])])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        rows = np.fromiter((self.words[w] for x in found for w in x), np.int64, int(sizes.sum()))
-        self.tokens.update(zip(tokens, range(len(self.sums), len(self.sums) + len(tokens))))
-        self.sums = np.concatenate([self.sums, by_owner(self.logs[rows], np.repeat(np.arange(len(found)), sizes), len(found))])
-        self.lettered = np.concatenate([self.lettered, np.array([any(map(str.isalpha, t)) for t in texts], bool)])
-
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's log likelihood under each language, and whether it has a letter."""
-        if max(len(self.words), len(self.tokens)) > CACHE_WORDS:
-            self._clear()
-        different, at, ends = split_words(texts)
-        if missing := [t for t in different if t not in self.tokens]:
-            self._learn(missing)
-        rows = np.fromiter((self.tokens[t] for t in different), np.int64, len(different))[at] if len(at) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-        return by_owner(self.sums[rows], owner, len(texts)), np.bincount(owner, self.lettered[rows], len(texts)) > 0
-
-
-def by_owner(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], axis=1)
+        self.v, self.p, self.known = v, p, {}
+        self.table = np.zeros((0, p.shape[1]))
+
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.table = self.table[:0]
+        missing = set()
+        for words in texts:
+            missing.update(words)
+        missing.difference_update(self.known)
+        if missing:
+            new = sorted(missing)
+            got = log_likelihoods(self.v, self.p, [MARK + w for w in new])
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, got])
+        get = self.known.__getitem__
+        out = np.zeros((len(texts), self.p.shape[1]))
+        for k, words in enumerate(texts):
+            if words:
+                out[k] = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
+        return out
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -230,7 +216,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] |
     keep = [c for c in keep if c not in (*names, "__text")]
     name = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +227,16 @@ def identify(docs: DataFrame, model: tuple[list[str], Vocabulary, np.ndarray] |
             _SCORERS[name] = Scorer(m[1], m[2])
         for batch in batches:
             for part in pieces(batch, "__text"):
-                texts = [t or b"" for t in part.column("__text").to_pylist()]
+                texts = [t or "" for t in part.column("__text").to_pylist()]
+                lettered = [any(map(str.isalpha, t)) for t in texts]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 if m is not None:
-                    got, lettered = _SCORERS[name].scores(texts)
+                    got = _SCORERS[name].scores([words_of_text(t) if ok else [] for t, ok in zip(texts, lettered)])
                     best = got.argmax(axis=1)
                     top = 1 / np.exp(np.clip(got - got[np.arange(len(got)), best][:, None], -700, 0)).sum(axis=1)
-                    for k in np.flatnonzero(lettered):
-                        langs[k], scores[k] = m[0][best[k]], float(top[k])
+                    for k, ok in enumerate(lettered):
+                        if ok:
+                            langs[k], scores[k] = m[0][best[k]], float(top[k])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(f, schema)
