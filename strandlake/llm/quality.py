@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pieces, scratch, ship, split_words, turn
+from .common import PIECE, cut, mix, pieces, scratch, ship, split_words, turn
 from .records import store
 
 ORDER = 5
-#: The deviation that any text may show; n-grams that a shard holds, about; bytes of shards that a worker keeps at most.
-LEAST, SHARD, KEPT = 0.005, 500_000, 128_000_000
+#: The deviation that any text may show; n-grams that a shard holds, about; bytes of shards that a worker keeps at most,
+#: and bytes of text that it scores in one pass through the shards where they are more than that.
+LEAST, SHARD, KEPT, MANY = 0.005, 500_000, 128_000_000, 64_000_000
 SIGNS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -235,31 +236,30 @@ def look_up(path: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return logs, weights
 
 
-def word_logs(w: Words, seed: int, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each different word's log probability (its symbols and its end) and its number of symbols. An n-gram that the
-    model lacks backs off: the weight of its context, if that is known, times the n-gram without its first symbol."""
-    out = np.zeros(len(w.sizes))
-    todo, size = np.arange(len(w.sizes)), w.sizes
-    for _ in range(ORDER + 1):
-        if not len(todo):
+def word_logs(groups: list[tuple[Words, int]], path: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words of several languages (with their seeds): each different word's log probability (its symbols and its end)
+    and its number of symbols. An n-gram that the model lacks backs off: the weight of its context, if that is known,
+    times the n-gram without its first symbol. One pass through the shards serves all groups."""
+    out = [np.zeros(len(w.sizes)) for w, _ in groups]
+    todo, size = [np.arange(len(w.sizes)) for w, _ in groups], [w.sizes.copy() for w, _ in groups]
+
+    def values(hashes: list[np.ndarray], column: int) -> list[np.ndarray]:
+        different, same = np.unique(np.concatenate(hashes), return_inverse=True)
+        return np.split(look_up(path, different)[column][same], np.cumsum([len(h) for h in hashes])[:-1])
+
+    while any(len(t) for t in todo):
+        p = values([gram_hashes(w.symbols, t + 1, n[t], seed) for (w, seed), t, n in zip(groups, todo, size)], 0)
+        for k, x in enumerate(p):
+            found = ~np.isnan(x)
+            out[k][todo[k][found]] += x[found]
+            todo[k] = todo[k][~found & (size[k][todo[k]] > 0)]  # with no symbol left, the language is unknown
+        if not any(len(t) for t in todo):
             break
-        places = todo + 1
-        unknown = size[todo] <= 0
-        h = gram_hashes(w.symbols, places, np.maximum(size[todo], 0), seed)
-        different, same = np.unique(h, return_inverse=True)
-        p = look_up(path, different)[0][same]
-        found = ~np.isnan(p)
-        out[todo[found]] += p[found]
-        rest = ~found & ~unknown
-        todo, places = todo[rest], places[rest]
-        if len(todo):
-            context = gram_hashes(w.symbols, places - 1, size[todo] - 1, seed)
-            different, same = np.unique(context, return_inverse=True)
-            weight = look_up(path, different)[1][same]
-            out[todo] += np.where(np.isnan(weight), 0.0, weight)
-            size = size.copy()
-            size[todo] -= 1
-    return np.bincount(w.word, out, len(w.words)), np.bincount(w.word, minlength=len(w.words))
+        weight = values([gram_hashes(w.symbols, t, n[t] - 1, seed) for (w, seed), t, n in zip(groups, todo, size)], 1)
+        for k, x in enumerate(weight):
+            out[k][todo[k]] += np.where(np.isnan(x), 0.0, x)
+            size[k][todo[k]] -= 1
+    return [(np.bincount(w.word, x, len(w.words)), np.bincount(w.word, minlength=len(w.words))) for (w, _), x in zip(groups, out)]
 
 
 def base(text: bytes) -> tuple[int, int, int, int, int]:
@@ -285,22 +285,32 @@ SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 def score(docs: DataFrame, path: str) -> DataFrame:
     """The base measures of each document, and the logarithm of its perplexity under its language's model."""
 
+    def scored(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [p.column("text").to_pylist() for p in parts]
+        owners = [(k, own, seed_of(lang), Words([texts[k][i] for i in own])) for k, p in enumerate(parts) for lang, own in by_language(p).items()]
+        owners = [x for x in owners if x[3].words]
+        ppl = [np.zeros(len(t)) for t in texts]
+        for (k, own, _, w), (logs, symbols) in zip(owners, word_logs([(w, seed) for _, _, seed, w in owners], path)):
+            sums = [np.concatenate([[0.0], np.cumsum(x[w.at])]) for x in (logs, symbols)]
+            total, n = (x[w.ends[1:]] - x[w.ends[:-1]] for x in sums)
+            ppl[k][own] = -total / np.maximum(n, 1)
+        for k, p in enumerate(parts):
+            rules = list(zip(*map(base, texts[k])))
+            yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("lang"), *(pa.array(c, pa.int64()) for c in rules), pa.array(ppl[k], pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn("quality", _SHARDS.clear)
+        held, size, most = [], 0, PIECE
         for batch in batches:
             for part in pieces(batch):
-                texts = part.column("text").to_pylist()
-                ppl = np.zeros(len(texts))
-                for lang, own in by_language(part).items():
-                    w = Words([texts[k] for k in own])
-                    if not w.words:
-                        continue
-                    logs, symbols = word_logs(w, seed_of(lang), path)
-                    sums = [np.concatenate([[0.0], np.cumsum(x[w.at])]) for x in (logs, symbols)]
-                    total, n = (x[w.ends[1:]] - x[w.ends[:-1]] for x in sums)
-                    ppl[own] = -total / np.maximum(n, 1)
-                rules = list(zip(*map(base, texts)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c, pa.int64()) for c in rules), pa.array(ppl, pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= most:
+                    yield from scored(held)
+                    held, size = [], 0
+                    most = PIECE if path in _SHARDS else MANY  # a model that doesn't stay is worth a longer run of texts
+        if held:
+            yield from scored(held)
 
     return docs.mapInArrow(f, SCORED)
 

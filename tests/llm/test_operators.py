@@ -353,7 +353,8 @@ def test_op5_model_against_dictionaries(spark):
         assert all(np.isclose(x, p(g[-1], g[:-1])) for g, x in got.items() if g) and len(got) > len(symbols)
         assert all(np.isclose(sum(p(x, c) for x in [*symbols, "unknown"]), 1) for c in ("", *{g[:-1] for g in list(got)[:40] if g}))
         words = quality.Words([t.encode() for t in ts] + [b"abx  never seen \xc3\xbc ab"])  # known words and others, which back off
-        logs, n = quality.word_logs(words, quality.seed_of(lang), path)
+        (logs, n), again = quality.word_logs([(words, quality.seed_of(lang)), (quality.Words([b"q ab"]), quality.seed_of("one"))], path)
+        assert np.allclose(again[0], quality.word_logs([(quality.Words([b"q ab"]), quality.seed_of("one"))], path)[0][0])
         for w, x, m in zip(words.words, logs, n):
             s = f" {w} "
             want = sum(np.log(p(s[i] if s[i] in symbols else "unknown", s[max(0, i - quality.ORDER + 1) : i])) for i in range(1, len(s)))
