@@ -33,7 +33,7 @@ from .records import store
 ORDER = 5
 #: The deviation that any text may show; n-grams that a shard holds, about; bytes of shards that a worker keeps at most,
 #: and bytes of text that it scores in one pass through the shards where they are more than that.
-LEAST, SHARD, KEPT, MANY = 0.005, 500_000, 128_000_000, 64_000_000
+LEAST, SHARD, KEPT, MANY = 0.005, 500_000, 128_000_000, 16_000_000
 SIGNS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ def count(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): the n-grams over all words of all texts; each task adds up its own before the shuffle."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("quality", _SHARDS.clear)
+        turn("quality", forget)
         held: dict[str | None, list[tuple]] = {}
 
         def flush():
@@ -227,6 +227,15 @@ def read_shards(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         _SHARDS[path] = kept
 
 
+# Functions that Spark ships refer to the module's own cache through these: what they name themselves is a copy.
+def stays(path: str) -> bool:
+    return path in _SHARDS
+
+
+def forget() -> None:
+    _SHARDS.clear()
+
+
 def look_up(path: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log p and log weight of n-grams by their hashes (ascending, different); not a number where there is none."""
     logs, weights = np.full(len(wanted), np.nan), np.full(len(wanted), np.nan)
@@ -303,7 +312,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("lang"), *(pa.array(c, pa.int64()) for c in rules), pa.array(ppl[k], pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("quality", _SHARDS.clear)
+        turn("quality", forget)
         held, size, most = [], 0, PIECE
         for batch in batches:
             for part in pieces(batch):
@@ -312,7 +321,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                 if size >= most:
                     yield from scored(held)
                     held, size = [], 0
-                    most = PIECE if path in _SHARDS else MANY  # a model that doesn't stay is worth a longer run of texts
+                    most = PIECE if stays(path) else MANY  # a model that doesn't stay is worth a longer run of texts
         if held:
             yield from scored(held)
 
