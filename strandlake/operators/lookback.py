@@ -35,10 +35,12 @@ def frame_sums(df: DataFrame, rows: int, key: str, order: str, block: int = 1 <<
     """df with the sum of key over each row and the `rows` before it. Each block also gets the last rows of the one before."""
     if rows >= block:
         raise StreamError("a frame must be smaller than a block")
-    own = df.withColumn("__b", F.floor(F.col(order) / F.lit(block))).withColumn("__mine", F.lit(True))
-    tail = own.where(F.pmod(F.col(order), F.lit(block)) >= block - rows).withColumn("__b", F.col("__b") + 1).withColumn("__mine", F.lit(False))
+    own = F.floor(F.col(order) / F.lit(block))
+    tail = F.pmod(F.col(order), F.lit(block)) >= block - rows
     w = Window.partitionBy("__b").orderBy(order).rowsBetween(-rows, 0)
-    return own.unionByName(tail).withColumn("frame_sum", F.sum(key).over(w)).where("__mine").drop("__b", "__mine")
+    # A tail's rows go to both blocks in one pass over df.
+    both = df.withColumn("__b", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    return both.withColumn("frame_sum", F.sum(key).over(w)).where(F.col("__b").eqNullSafe(own)).drop("__b")
 
 
 def skip_to(df: DataFrame, pos: int, column: str = "pos") -> DataFrame:

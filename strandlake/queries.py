@@ -311,7 +311,8 @@ def stream_lookback(spark, sf_dir):
         p.produce(dense_positions(words(spark, sf_dir)).select("pos", F.col("pos").alias("v")))
 
         def frames(window, number):
-            seen = lookback.frame_sums(window.since(max(0, window.begin - 16)), 16, "v", "pos")
+            # A window has 9 blocks of 400 rows at most: one task.
+            seen = lookback.frame_sums(window.since(max(0, window.begin - 16)).coalesce(1), 16, "v", "pos")
             seen.where(F.col("pos") >= window.begin).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
         p.consume(frames)

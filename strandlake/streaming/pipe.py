@@ -10,6 +10,7 @@ is kept with the pipe. What a pipe holds is its folder: reset() empties it, clos
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -103,6 +104,8 @@ class Pipe:
         if store.get_file_info(f"{path}/{number}.json").type == fs.FileType.File:
             store.delete_file(f"{path}/{number}.json")
         store.move(new, f"{path}/{number}.json")
+        if store.get_file_info(old := f"{path}/{number - 2}.json").type == fs.FileType.File:  # the one before stays for who reads now
+            store.delete_file(old)
 
     def _delete(self, name: str) -> None:
         store, path = self._fs(name)
@@ -148,13 +151,22 @@ class Pipe:
             return set()
         return {int(x.base_name[6:]) for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("block=")}
 
+    def _next(self, at: int) -> int:
+        """The end of the blocks that are there from `at` on without a gap, `ahead` of them at most."""
+        store, path = self._fs("blocks")
+        found = store.get_file_info([f"{path}/block={b}" for b in range(at, at + self.config.ahead)])
+        return at + next((k for k, x in enumerate(found) if x.type != fs.FileType.Directory), len(found))
+
     def _read(self, schema: StructType, first: int, end: int) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/blocks/block={b}" for b in range(first, end)))
 
     def consume(self, each: Callable[[Window, int], None], timeout: int = 600) -> int:
         """Hand every block there is to each(window, number), `ahead` of them at a time, in order; returns how many rows
-        were new. It can be called again after more was produced, or after a failure: the place is kept."""
-        name, c = "pipe_" + uuid.uuid4().hex, self.config
+        were new. It can be called again after more was produced, or after a failure: the place is kept. A pipe that
+        stands still for `timeout` seconds, where no micro-batch ends and Spark runs no job, raises TimeoutError; one that
+        goes on may take as long as its rows ask for."""
+        name, c, sc = "pipe_" + uuid.uuid4().hex, self.config, self.spark.sparkContext
+        kept = max(c.consumer_back, 1)  # blocks before the next one that stay
         state = self._get("producer", {"schema": None, "rows": 0})
         if state["schema"] is None:
             return 0
@@ -164,33 +176,37 @@ class Pipe:
         missing = set(range(begin, max(there, default=-1) + 1)) - there
         if missing:
             raise StreamError(f"block {min(missing)} is missing")
+        for b in there:
+            if b < begin - kept:  # left by a batch that failed after its place was kept
+                self._delete(f"blocks/block={b}")
+        moved = time.monotonic()
         width = sum(8 if f.dataType.simpleString() in ("bigint", "double", "timestamp") else 4 for f in schema)
         self.report = SpeedReport(rows * width)
 
         def batch(arrived: DataFrame, number: int) -> None:
+            nonlocal moved
             state = self._get("consumer", {"next": 0, "batch": -1})
             if number <= state["batch"]:
                 return  # done before a restart
-            at, have = state["next"], self._blocks()
             # Files come in any order: each batch goes on with as many blocks as arrived in it, the next in order.
-            end = at
-            while end in have and end < at + c.ahead:
-                end += 1
+            end = self._next(at := state["next"])
             if end > at:
                 first = max(0, at - c.consumer_back)
                 each(Window(self._read(schema, first, end), self.pos, first * c.block_rows, at * c.block_rows, min(rows, end * c.block_rows)), number)
                 self.report.add((min(rows, end * c.block_rows) - at * c.block_rows) * width)
             self._put("consumer", number, {"next": end, "batch": number})
-            store, _ = self._fs("blocks")
-            for b in have:
-                if b < end - c.consumer_back and b < end - 1:
-                    self._delete(f"blocks/block={b}")
+            for b in range(max(0, at - kept), end - kept):
+                self._delete(f"blocks/block={b}")
+            moved = time.monotonic()
 
         stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", c.ahead).parquet(f"{self.path}/blocks")
         query = stream.writeStream.queryName(name).foreachBatch(batch).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
         try:
-            if not query.awaitTermination(timeout):
-                raise TimeoutError("the pipe did not drain in time")
+            while not query.awaitTermination(min(1, timeout)):
+                if sc.statusTracker().getActiveJobsIds():
+                    moved = time.monotonic()
+                elif time.monotonic() - moved > timeout:
+                    raise TimeoutError(f"the pipe stood still for {timeout} s")
         finally:
             query.stop()
         return min(self._get("consumer", {"next": 0})["next"] * c.block_rows, rows) - min(begin * c.block_rows, rows)

@@ -1,6 +1,7 @@
 """The ordered-stream operators against DuckDB, plain Python and properties."""
 
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake import queries as Q
 from strandlake.errors import StreamError
 from strandlake.functions import keys, metrics
-from strandlake.operators import generate, intervals, order, partition
+from strandlake.operators import generate, intervals, lookback, order, partition
 from strandlake.plans import job
 from strandlake.plans.split import plan_splits, shifts
 from strandlake.session import partitions_for
@@ -213,6 +214,30 @@ def test_pipe_goes_on_after_a_failure(spark):
         assert [x for x in got if x != 100] == [(b, sum(3 * x for x in range(b, b + 50))) for b in (0, 50, 100, 150)]
 
 
+def test_pipe_takes_as_long_as_its_rows_ask_for(spark, monkeypatch):
+    listed = []
+    with pipe.Pipe(spark, pipe.PipeConfig(block_rows=10, ahead=1)) as p:
+        p.produce(numbers(spark, 0, 80))
+        blocks = p._blocks
+        monkeypatch.setattr(p, "_blocks", lambda: listed.append(1) or blocks())
+        assert p.consume(lambda w, n: time.sleep(1), timeout=6) == 80  # eight seconds, none of them still
+        assert len(listed) == 1  # not once a batch
+        assert len(os.listdir(f"{p.path.removeprefix('file:')}/consumer")) <= 2
+        p.produce(numbers(spark, 80, 10))
+        with pytest.raises(TimeoutError, match="stood still for 2 s"):
+            p.consume(lambda w, n: time.sleep(6), timeout=2)
+
+
+def test_frame_sums_read_their_input_once(spark):
+    df = numbers(spark, 0, 95)
+    out = lookback.frame_sums(df, 4, "k", "pos", block=10)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 3 * i, sum(3 * j for j in range(max(0, i - 4), i + 1))) for i in range(95)]
+    odd = spark.createDataFrame([(None, 1), (-1, 2), (0, 3), (1, None)], "pos long, k long")
+    got = {r["pos"]: r["frame_sum"] for r in lookback.frame_sums(odd, 4, "k", "pos", block=10).collect()}
+    assert got == {None: 1, -1: 2, 0: 5, 1: 5}
+
+
 def test_pipe_refuses_steps_back_and_gaps(spark):
     with pipe.Pipe(spark, pipe.PipeConfig(block_rows=10, producer_back=1)) as p:
         written = lambda ps: spark.createDataFrame([(i, x) for i, x in enumerate(ps)], "seq long, pos long")
